@@ -27,6 +27,12 @@ def cents(column: str) -> Column:
     return F.round(F.col(column) * 100).cast("long")
 
 
+def sealed(df: DataFrame) -> DataFrame:
+    """The same rows, but filters on derived columns stay above this point
+    instead of repeating the columns' expressions further down."""
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
 def sales_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items with the order's taxpayer, store and platform."""
     items = table(spark, sf_dir, "lineitem").select(
@@ -85,8 +91,7 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             "month": F.month("order_date"),
         }
     ).drop("o_orderstatus")
-    # inline() also keeps filters on derived columns from repeating their
-    # expressions at the scan.
+    # inline() also seals the rows.
     row = F.struct(*rows.columns)
     return rows.select(F.inline(F.when(key % 50 == 0, F.array(row, row)).otherwise(F.array(row))))
 
@@ -372,8 +377,8 @@ def invoice_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     amounts must not be read."""
     more = F.lit("Total 9,999.99\nTotal VAT 7% ฿9.99\nVAT 7% 9.99\nInvoice number : NO")
     pages = F.when(F.col("inv_id") % 2 == 0, F.array("first", "more")).otherwise(F.array("first"))
-    return (
-        invoices(spark, sf_dir)
+    return sealed(
+        sealed(invoices(spark, sf_dir))
         .withColumns({"first": _invoice_text(), "more": more})
         .select(*DOC_COLUMNS, F.posexplode(pages).alias("page_no", "text"))
     )
