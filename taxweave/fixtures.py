@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from taxweave.functions.money import grouped_label, whole_div
 from taxweave.operators.lines import per_platform
 from taxweave.rules import RULES, PlatformRule
-from taxweave.session import fresh_folder
+from taxweave.session import fresh_folder, spread
 
 STORES = ["store1", "store2", "store3"]
 TAXPAYER_GROUPS = 8
@@ -38,6 +38,7 @@ def sales_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag"
     )
+    items = spread(items, "l_orderkey")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
     key = F.col("l_orderkey")
     quantity, item = F.col("l_quantity").cast("long"), cents("l_extendedprice")
@@ -157,14 +158,14 @@ def render_export(lines: DataFrame, platform: str) -> DataFrame:
     own = [values[name].alias(column) for name, column in rule.columns.items()]
     carried = [F.lit("0").alias(column) for column in rule.carried]
     return lines.filter(F.col("platform") == platform).select(
-        "taxpayer_id", "store", "line_ord", "order_no", *[c.alias(f"x{i}") for i, c in enumerate(own + carried)], "sku",
+        "taxpayer_id", "store", "line_ord", "order_no", *[c.alias(f"x{i}") for i, c in enumerate(own + carried)], "sku", F.col("quantity").cast("string").alias("quantity"),
         (F.col("taxpayer_id") % TAXPAYER_GROUPS).alias("taxpayer_group"),
     ).withColumnsRenamed({f"x{i}": name for i, name in enumerate([*rule.columns.values(), *rule.carried])})
 
 
 def _export_names(platform: str) -> list[str]:
     rule = RULES[platform]
-    return [*rule.columns.values(), *rule.carried, "sku"]
+    return [*rule.columns.values(), *rule.carried, "sku", "quantity"]
 
 
 def _write_export(rows: DataFrame, names: list[str], path: str, fmt: str) -> None:

@@ -106,10 +106,20 @@ def dedup_lines(lines: DataFrame) -> DataFrame:
     aggregate combines copies before the shuffle: a single row repeated over a
     third of the data leaves each map task as one row.
     """
-    keys = [c for c in lines.columns if c != ROW_ORDER]
-    return lines.groupBy(*[F.col(f"`{c}`") for c in keys]).agg(
+    # Year and month follow from the day; they need not be compared or shuffled.
+    derived = ["year", "month"] if "order_date" in lines.columns else []
+    keys = [c for c in lines.columns if c not in (ROW_ORDER, *derived)]
+    unique = lines.groupBy(*[F.col(f"`{c}`") for c in keys]).agg(
         F.min(ROW_ORDER).alias(ROW_ORDER), F.count(F.lit(1)).alias("copies")
     )
+    if derived:
+        unique = unique.withColumns({"year": F.year("order_date"), "month": F.month("order_date")})
+    return unique
+
+
+def without_copies(lines: DataFrame) -> DataFrame:
+    """`dedup_lines`, unless the lines are already free of copies."""
+    return lines if "copies" in lines.columns else dedup_lines(lines)
 
 
 def daily_weight(lines: DataFrame) -> Column:

@@ -1,30 +1,43 @@
 """Findings about order exports. Each returns a table and stops nothing.
 
-All are one aggregate per source over sums, minima and small sets of years, so
-they combine before the shuffle.
+Lines are first reduced to counts per source and period by a hash aggregate,
+which combines before the shuffle; lists of years are built from those counts.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taxweave.functions import calendar
 from taxweave.operators.lines import SOURCE, is_open, per_platform
 
 
-def _years_text(condition):
+def _rows_per_period(lines: DataFrame) -> DataFrame:
+    return lines.groupBy(*SOURCE, "year", "month").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def _rows_where(condition: Column) -> Column:
+    return F.sum(F.when(condition, F.col("rows")).otherwise(0))
+
+
+def _years_text(condition: Column) -> Column:
     return F.array_join(F.sort_array(F.collect_set(F.when(condition, F.col("year").cast("string")))), ", ")
 
 
 def incomplete_orders(lines: DataFrame, by=("year", "month")) -> DataFrame:
     """Per source and period: distinct orders not completed yet, and distinct
-    statuses among them (an unknown status counts as one)."""
+    statuses among them (an unknown status counts as one).
+
+    Lines are made distinct first, so that counting two columns at once
+    multiplies orders and not lines.
+    """
     return (
         lines.filter(is_open())
-        .withColumn("status", F.coalesce("status", F.lit("")))
+        .select(*SOURCE, *by, "order_no", F.coalesce("status", F.lit("")).alias("status"))
+        .distinct()
         .groupBy(*SOURCE, *by)
         .agg(F.countDistinct("order_no").alias("open_orders"), F.countDistinct("status").alias("open_statuses"))
     )
@@ -45,13 +58,14 @@ def missing_columns(headers: DataFrame, required: list[str]) -> DataFrame:
 
 def wrong_period_sources(lines: DataFrame, year: int) -> DataFrame:
     """Sources with rows, none of them in the chosen year."""
-    inside = F.col("year") == year
+    outside = F.col("year") != year
     return (
-        lines.groupBy(*SOURCE)
+        _rows_per_period(lines)
+        .groupBy(*SOURCE)
         .agg(
-            F.count_if(F.col("year") != year).alias("outside_rows"),
-            F.count_if(inside).alias("inside_rows"),
-            _years_text(F.col("year") != year).alias("years"),
+            _rows_where(outside).alias("outside_rows"),
+            _rows_where(F.col("year") == year).alias("inside_rows"),
+            _years_text(outside).alias("years"),
         )
         .filter((F.col("outside_rows") > 0) & (F.col("inside_rows") == 0))
         .drop("inside_rows")
@@ -74,10 +88,11 @@ def foreign_period_rows(lines: DataFrame, year: int, month: int | None = None) -
         either = other_year | (F.col("month") != month)
         both = other_year & (F.col("month") != month)
     return (
-        lines.groupBy(*SOURCE)
+        _rows_per_period(lines)
+        .groupBy(*SOURCE)
         .agg(
-            F.count_if(either).alias("foreign_rows"),
-            F.count_if(both).alias("foreign_rows_both"),
+            _rows_where(either).alias("foreign_rows"),
+            _rows_where(both).alias("foreign_rows_both"),
             _years_text(other_year).alias("other_years"),
         )
         .filter(F.col("foreign_rows") > 0)

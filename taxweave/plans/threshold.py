@@ -28,7 +28,7 @@ def counted_lines(order_lines: DataFrame, year: int | None = None, as_of: dt.dat
         kept = lines.filter_period(kept, year)
     if as_of is not None:
         kept = lines.exclude_open_month(kept, as_of)
-    return lines.dedup_lines(kept)
+    return lines.without_copies(kept)
 
 
 def daily_from_lines(order_lines: DataFrame, year: int | None = None, as_of: dt.date | None = None) -> DataFrame:

@@ -7,10 +7,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from taxweave.operators import inputs, invoices, ledger, lines, returns
+from taxweave.session import settle
+from taxweave.sinks import reports
 
 
 @dataclass(frozen=True)
-class VatMonth:
+class VatMonths:
+    """Lazy results. `file_returns` computes each ledger once."""
+
     sales: DataFrame
     purchases: DataFrame
     summary: DataFrame
@@ -20,7 +24,7 @@ def sales_from_lines(order_lines: DataFrame, year: int | None = None, month: int
     kept = lines.drop_cancelled(order_lines)
     if year is not None:
         kept = lines.filter_period(kept, year, month)
-    return ledger.sales_ledger(ledger.order_totals(lines.dedup_lines(kept)))
+    return ledger.sales_ledger(ledger.order_totals(lines.without_copies(kept)))
 
 
 def vat_months(
@@ -31,14 +35,28 @@ def vat_months(
     year: int | None = None,
     month: int | None = None,
     strict: bool = False,
-) -> VatMonth:
-    """Both ledgers and the five measures. Without year and month, all periods."""
-    if selection is not None:
-        order_lines = inputs.filter_selected_platforms(order_lines, selection)
-        docs = inputs.filter_selected_platforms(docs, selection)
+) -> VatMonths:
+    """Both ledgers and the five measures. Without year and month, all periods.
+
+    The selection is applied to the ledgers, which are far smaller than order
+    lines and page texts, so a large selection does not shuffle those.
+    """
     sales = sales_from_lines(order_lines, year, month)
     handed_in = docs if year is None else lines.filter_period(docs, year, month)
     purchases = invoices.purchase_ledger(handed_in, strict)
+    if selection is not None:
+        sales = inputs.filter_selected_platforms(sales, selection)
+        purchases = inputs.filter_selected_platforms(purchases, selection)
     if chosen_tax_ids is not None:
         purchases = invoices.select_tax_ids(purchases, chosen_tax_ids)
-    return VatMonth(sales, purchases, returns.vat_return(sales, purchases))
+    return VatMonths(sales, purchases, returns.vat_return(sales, purchases))
+
+
+def file_returns(months: VatMonths, path: str) -> DataFrame:
+    """Write both ledgers and the receipt manifest below `path` and compute the
+    returns from what was written, so lines and texts are read once."""
+    spark = months.sales.sparkSession
+    fees = settle(months.purchases, "purchases")
+    reports.write_tax_ledgers(months.sales, fees.select(*invoices.PURCHASES), path)
+    reports.write_receipts(fees, f"{path}/receipts")
+    return returns.vat_return(spark.read.parquet(f"{path}/sales"), spark.read.parquet(f"{path}/purchases"))

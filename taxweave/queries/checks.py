@@ -7,10 +7,16 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from taxweave import fixtures as fx
-from taxweave.operators import inputs, lines, quality
+from taxweave.operators import inputs, ledger, lines, quality
+from taxweave.plans import landing
+from taxweave.plans import threshold as plans_threshold
+from taxweave.plans import vat as plans_vat
+from taxweave.queries import threshold, vat
 from taxweave.queries.sql import SOURCE, sql
 from taxweave.rules import RULES
+from taxweave.session import fresh_folder
 from taxweave.sources import exports, manifest
+from taxweave.sources.documents import scan_invoice_docs
 
 SEEN_ON = dt.date(2001, 9, 10)
 EXPORTED = ["taxpayer_id", "store", "platform", "order_no", "status", "order_date", "customer_name", "item_c", "disc_c", "ship_c"]
@@ -53,13 +59,35 @@ def ledger_from_exports(spark, sf_dir):
     own columns and the first line is the file's first."""
     raw = _scan(spark, sf_dir, "Shopee")
     unique = lines.dedup_lines(lines.drop_cancelled_export(raw, "Shopee"))
-    from taxweave.operators import ledger
-
     orders = ledger.order_totals(lines.normalise_order_lines(unique, "Shopee"))
     rows = ledger.sales_ledger(orders).withColumn("taxpayer_id", F.col("taxpayer_id").cast("long"))
     return rows.select("taxpayer_id", "store", "type", "order_date", "status", "order_no", "vat_c", "include_vat_c")
 
 
+def _landed(spark, sf_dir):
+    roots = {p: fx.write_exports(spark, sf_dir, p) for p in RULES}
+    formats = {p: "csv" if p == "TikTok" else "parquet" for p in RULES}
+    path = fresh_folder(spark, "lines")
+    landing.write_order_lines(landing.lines_from_exports(spark, roots, formats), path)
+    return landing.read_order_lines(spark, path)
+
+
+def land_order_lines(spark, sf_dir):
+    return _landed(spark, sf_dir).select(*EXPORTED, "year", "month", "copies")
+
+
+def threshold_from_exports(spark, sf_dir):
+    """The threshold check from files to verdict."""
+    return plans_threshold.status_from_lines(_landed(spark, sf_dir))
+
+
+def vat_return_from_exports(spark, sf_dir):
+    """The VAT return from files to the five measures."""
+    pages = fresh_folder(spark, "pages")
+    fx.invoice_pages(spark, sf_dir).write.parquet(pages)
+    return plans_vat.vat_months(_landed(spark, sf_dir), scan_invoice_docs(spark, pages)).summary
+
+
 def scan_input_manifest(spark, sf_dir):
     root = fx.write_exports(spark, sf_dir, "TikTok")
     files = manifest.scan_input_manifest(spark, root, "*.csv", ("kind", "platform", "store", "taxpayer_group"))
@@ -159,6 +187,16 @@ QUERIES = {
         ledger_from_exports,
         sql("SELECT taxpayer_id, store, type, order_date, status, order_no, vat_c, include_vat_c FROM sales WHERE platform = 'Shopee'", "sales"),
     ),
+    "land_order_lines": (
+        land_order_lines,
+        sql(
+            f"""SELECT {_EXPORTED}, year, month, count(*) AS copies FROM lines
+GROUP BY {SOURCE}, order_no, status, order_date, customer_name, item_c, disc_c, ship_c, sku, quantity, year, month""",
+            "lines",
+        ),
+    ),
+    "threshold_from_exports": (threshold_from_exports, threshold.QUERIES["threshold_status"][1]),
+    "vat_return_from_exports": (vat_return_from_exports, vat.QUERIES["vat_return"][1]),
     "scan_input_manifest": (
         scan_input_manifest,
         sql(

@@ -71,21 +71,30 @@ def filter_selected_platforms(spark, sf_dir):
     return inputs.filter_selected_platforms(vat.sales_from_lines(fx.canonical_lines(spark, sf_dir)), selection)
 
 
-def write_sales_ledger(spark, sf_dir):
+def _filed(spark, sf_dir):
     path = fresh_folder(spark, "ledgers")
-    _write_ledgers(spark, sf_dir, path)
+    months = vat.vat_months(fx.canonical_lines(spark, sf_dir), _docs(spark, sf_dir))
+    return path, vat.file_returns(months, path)
+
+
+def write_sales_ledger(spark, sf_dir):
+    path, _ = _filed(spark, sf_dir)
     return spark.read.parquet(f"{path}/sales")
 
 
 def write_purchase_ledger(spark, sf_dir):
-    path = fresh_folder(spark, "ledgers")
-    _write_ledgers(spark, sf_dir, path)
+    path, _ = _filed(spark, sf_dir)
     return spark.read.parquet(f"{path}/purchases")
 
 
-def _write_ledgers(spark, sf_dir, path):
-    month = vat.vat_months(fx.canonical_lines(spark, sf_dir), _docs(spark, sf_dir))
-    reports.write_tax_ledgers(month.sales, month.purchases.select(*invoices.PURCHASES), path)
+def write_receipts(spark, sf_dir):
+    path, _ = _filed(spark, sf_dir)
+    return spark.read.parquet(f"{path}/receipts")
+
+
+def filed_returns(spark, sf_dir):
+    """The returns computed from the written ledgers."""
+    return _filed(spark, sf_dir)[1]
 
 
 def vat_return(spark, sf_dir):
@@ -184,6 +193,12 @@ FROM (SELECT taxpayer_id, year, month, coalesce(sales_before_vat_c, 0) AS sales_
         FROM purchases {fees} GROUP BY taxpayer_id, year, month) USING (taxpayer_id, year, month))"""
 _SELECTED = "WHERE year = 1998 AND month = 3 AND (platform <> 'TikTok' OR taxpayer_id % 10 <> 0)"
 
+_RECEIPTS = sql(
+    """SELECT taxpayer_id, year, month, store || '_' || platform || '_commission_receipt' AS bundle, doc_date, doc_num, file_name
+FROM purchases ORDER BY 1, 2, 3, 4, 5, 6, 7""",
+    "purchases",
+)
+
 QUERIES = {
     "order_sales_ledger": (order_sales_ledger, sql(f"SELECT {LEDGER} FROM sales WHERE type = 'สินค้า'", "sales")),
     "shipping_sales_ledger": (shipping_sales_ledger, sql(f"SELECT {LEDGER} FROM sales WHERE type = 'บริการ'", "sales")),
@@ -288,14 +303,9 @@ GROUP BY taxpayer_id, year, month, tax_key""",
             "purchases",
         ),
     ),
-    "receipt_manifest": (
-        receipt_manifest,
-        sql(
-            """SELECT taxpayer_id, year, month, store || '_' || platform || '_commission_receipt' AS bundle, doc_date, doc_num, file_name
-FROM purchases ORDER BY 1, 2, 3, 4, 5, 6, 7""",
-            "purchases",
-        ),
-    ),
+    "receipt_manifest": (receipt_manifest, _RECEIPTS),
+    "write_receipts": (write_receipts, _RECEIPTS),
+    "filed_returns": (filed_returns, sql(_RETURN.format(sales="", fees=""), "sales", "purchases")),
     "receipt_bundles": (
         receipt_bundles,
         sql(

@@ -41,23 +41,34 @@ def write_tax_ledgers(sales: DataFrame, purchases: DataFrame, path: str, fmt: st
     _write_sorted(purchases, f"{path}/purchases", ["year", "month"], [*SOURCE, "doc_date", "doc_num"], fmt)
 
 
+def write_receipts(invoices: DataFrame, path: str, fmt: str = "parquet") -> None:
+    """The receipt manifest, one folder per year and month."""
+    order = ["taxpayer_id", "bundle", "doc_date", "doc_num", "file_name"]
+    _write_sorted(_receipts(invoices), path, ["year", "month"], order, fmt)
+
+
+BUNDLE = ["taxpayer_id", "year", "month", "bundle"]
+
+
+def _receipts(invoices: DataFrame) -> DataFrame:
+    bundle = F.concat("store", F.lit("_"), "platform", F.lit("_commission_receipt"))
+    return invoices.withColumn("bundle", bundle).select(*BUNDLE, "doc_date", "doc_num", "file_name")
+
+
 def receipt_manifest(invoices: DataFrame) -> DataFrame:
     """The receipts of each (store, platform) bundle in ascending date.
 
     One row per receipt in global order; a bundle is never gathered into one
     row or task, however many receipts it holds.
     """
-    bundle = F.concat("store", F.lit("_"), "platform", F.lit("_commission_receipt"))
-    return invoices.select(
-        "taxpayer_id", "year", "month", bundle.alias("bundle"), "doc_date", "doc_num", "file_name"
-    ).orderBy("taxpayer_id", "year", "month", "bundle", "doc_date", "doc_num", "file_name")
+    return _receipts(invoices).orderBy(*BUNDLE, "doc_date", "doc_num", "file_name")
 
 
 def receipt_bundles(invoices: DataFrame) -> DataFrame:
     """Per bundle: number of receipts and the first and last date."""
     return (
-        receipt_manifest(invoices)
-        .groupBy("taxpayer_id", "year", "month", "bundle")
+        _receipts(invoices)
+        .groupBy(*BUNDLE)
         .agg(
             F.count(F.lit(1)).alias("receipts"),
             F.min("doc_date").alias("first_date"),

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -29,15 +30,20 @@ def list_files(spark: SparkSession, root: str | list[str], pattern: str = "*") -
     )
 
 
+def _arrow_uri(path: str) -> str:
+    """Spark lists file:/x and s3a://x, Arrow wants file:///x and s3://x."""
+    if path.startswith("file:/") and not path.startswith("file:///"):
+        path = path.replace("file:/", "file:///", 1)
+    return quote(path.replace("s3a://", "s3://", 1), safe=":/")
+
+
 def _first_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     from pyarrow import fs
 
     for batch in batches:
         lines = []
         for path in batch["file_path"]:
-            # Spark writes local paths as file:/x, Arrow reads file:///x.
-            uri = path.replace("file:/", "file:///", 1) if not path.startswith("file:///") else path
-            store, name = fs.FileSystem.from_uri(uri)
+            store, name = fs.FileSystem.from_uri(_arrow_uri(path))
             with store.open_input_stream(name) as stream:
                 head = b""
                 while b"\n" not in head:
@@ -49,12 +55,25 @@ def _first_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"file_path": batch["file_path"], "value": lines})
 
 
-def csv_headers(spark: SparkSession, root: str | list[str], pattern: str = "*.csv") -> DataFrame:
+def csv_headers(
+    spark: SparkSession, root: str | list[str], pattern: str = "*.csv", by_scan: bool = False
+) -> DataFrame:
     """One row per CSV file: file_path and header (array of column names).
 
     Only the first bytes of each file are read, in parallel over the listing,
-    so checking the columns does not cost a scan of the data.
+    so checking the columns does not cost a scan of the data. `by_scan` reads
+    the files as text instead, for storage that only Spark can open.
     """
+    if by_scan:
+        lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(root)
+        placed = lines.select(
+            F.col("_metadata.file_path").alias("file_path"),
+            F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("row"),
+            F.regexp_replace("value", "^\ufeff", "").alias("value"),
+        )
+        first = placed.filter(F.col("block") == 0).groupBy("file_path").agg(F.min_by("value", "row").alias("value"))
+        return first.select("file_path", header_names(F.col("value")).alias("header"))
     # The path stays as listed: _metadata.file_path would be URL-encoded.
     files = list_files(spark, root, pattern).select(F.col("path").alias("file_path"))
     first = files.mapInPandas(_first_lines, "file_path string, value string")

@@ -1,0 +1,101 @@
+"""What must hold of the physical plans for large data, and hot groups."""
+
+import datetime as dt
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__ as contract
+from taxweave.operators import invoices, ledger, lines
+from taxweave.plans import landing, threshold
+
+SF = "/root/testdata/sf0.001"
+# These write files first; their plans only read them back.
+WRITING = {n for n in contract.queries() if n.startswith(("write_", "scan_", "run_audit", "union_exports", "ledger_from", "filed_", "land_"))}
+WRITING |= {n for n in contract.queries() if n.endswith("_from_exports")}
+HEADERS = {"missing_columns", "union_exports", "scan_order_export_tiktok"}
+
+
+def plan_of(frame) -> str:
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", sorted(set(contract.queries()) - WRITING - HEADERS))
+def test_no_python_and_no_cross_join(spark, name):
+    plan = plan_of(contract.queries()[name](spark, SF))
+    for word in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "MapInPandas"):
+        assert word not in plan
+
+
+def test_scan_reads_only_needed_columns(spark):
+    plan = plan_of(contract.queries()["missing_inputs"](spark, SF))
+    read = re.findall(r"ReadSchema: struct<([^>]*)>", plan)
+    assert read and all("l_extendedprice" not in s for s in read)
+
+
+def test_landed_lines_are_pruned_by_period(spark, tmp_path):
+    frame = contract.queries()["filter_period"](spark, SF).withColumn("line_ord", F.lit(1))
+    landing.write_order_lines(frame, str(tmp_path / "lines"))
+    read = lines.filter_period(landing.read_order_lines(spark, str(tmp_path / "lines")), 1998, 3)
+    assert read.count() == frame.count()
+    assert re.search(r"PartitionFilters: \[[^\]]*1998[^\]]*3", plan_of(read))
+
+
+def test_groups_are_combined_before_the_shuffle(spark):
+    plan = plan_of(contract.queries()["threshold_status"](spark, SF))
+    assert plan.count("functions=[partial_") == 4  # copies, orders, days, verdict
+    assert "SortAggregate" not in plan
+
+
+def test_extraction_is_not_repeated_by_filters(spark):
+    plan = plan_of(contract.queries()["dedup_invoices"](spark, SF))
+    assert all("transform(" not in line for line in plan.splitlines() if re.search(r"[-+] Filter", line))
+    assert "Window" not in plan
+
+
+HOT = (
+    "taxpayer_id long, store string, platform string, order_no string, status string, order_date date, year int, month int, "
+    "customer_name string, item_c long, disc_c long, ship_c long, line_ord long"
+)
+
+
+def hot_lines(spark, copies):
+    """One line repeated `copies` times and as many lines of one order."""
+    day = F.lit(dt.date(2024, 3, 5))
+    base = spark.range(copies).select(
+        F.lit(1).cast("long").alias("taxpayer_id"), F.lit("a").alias("store"), F.explode(F.array(*map(F.lit, ("Shopee", "Lazada", "TikTok")))).alias("platform"),
+        F.lit("hot").alias("order_no"), F.lit("x").alias("status"), day.alias("order_date"), F.year(day).alias("year"), F.month(day).alias("month"),
+        F.lit("c").alias("customer_name"), F.lit(10).cast("long").alias("item_c"), F.lit(1).cast("long").alias("disc_c"), F.lit(2).cast("long").alias("ship_c"), F.col("id").alias("line_ord"),
+    )
+    varied = base.withColumns({"customer_name": F.col("line_ord").cast("string"), "line_ord": F.col("line_ord") + copies})
+    return base.unionByName(varied)
+
+
+def test_hot_order_and_hot_copies(spark):
+    n = 20_000
+    frame = hot_lines(spark, n)
+    sold = {r.platform: r.order_c for r in threshold.daily_from_lines(frame).collect()}
+    assert sold == {"Shopee": 10 * (n + 1) - 1, "Lazada": 10 * 2 * n, "TikTok": 9 * (n + 1)}
+    booked = ledger.order_totals(lines.dedup_lines(frame))
+    assert {(r.platform, r.customer_name, r.goods_c) for r in booked.collect()} == {
+        ("Shopee", "c", 10 * (n + 1) - 1), ("Lazada", "c", 10 * (n + 1)), ("TikTok", "c", 9 * (n + 1)),
+    }
+
+
+def test_hot_document_number(spark):
+    n = 20_000
+    frame = spark.range(n).select(
+        F.lit(1).alias("taxpayer_id"), F.lit("a").alias("store"), F.lit("Lazada").alias("platform"), F.lit(2024).alias("year"), F.lit(3).alias("month"),
+        F.col("id").cast("string").alias("doc_id"), F.lit("same").alias("doc_num"), (n - F.col("id")).alias("upload_ord"), F.col("id").alias("vat_c"),
+    )
+    kept = invoices.dedup_invoices(frame).collect()
+    assert [(r.vat_c, r.upload_ord) for r in kept] == [(n - 1, 1)]
+
+
+def test_long_document(spark):
+    n = 200_000
+    text = "\n".join(["filler"] * n + ["Invoice number : X"])
+    frame = spark.createDataFrame([(1, "a", "TikTok", 2024, 3, "d", "d.pdf", 1, text)], "taxpayer_id long, store string, platform string, year int, month int, doc_id string, file_name string, upload_ord int, text string")
+    assert invoices.extract_invoice_fields(invoices.classify_invoice_docs(frame)).first().doc_num == "X"
+    assert invoices.line_lookahead(frame).count() == n + 1
