@@ -80,6 +80,23 @@ def csv_headers(
     return first.select("file_path", header_names(F.col("value")).alias("header"))
 
 
+def _parquet_names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    from pyarrow import fs, parquet
+
+    for batch in batches:
+        names = []
+        for path in batch["file_path"]:
+            store, name = fs.FileSystem.from_uri(_arrow_uri(path))
+            names.append(parquet.read_schema(name, filesystem=store).names)
+        yield pd.DataFrame({"file_path": batch["file_path"], "header": names})
+
+
+def parquet_headers(spark: SparkSession, root: str | list[str], pattern: str = "*.parquet") -> DataFrame:
+    """The same for Parquet exports: column names from each file's footer."""
+    files = list_files(spark, root, pattern).select(F.col("path").alias("file_path"))
+    return files.mapInPandas(_parquet_names, "file_path string, header array<string>")
+
+
 def header_names(line):
     """Column names of a CSV header line. Commas inside quotes do not split."""
     parts = F.split(line, r',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1)

@@ -56,6 +56,9 @@ def test_parquet_export(spark, tmp_path):
     frame = spark.createDataFrame([("1", "a", *["5"] * len(names))], "taxpayer_id string, store string, " + ", ".join(f"`{n}` string" for n in names))
     frame.write.parquet(str(tmp_path / "x"))
     raw = exports.scan_order_export(spark, str(tmp_path / "x"), fmt="parquet")
+    frame.drop(rule.columns["item"]).write.mode("append").parquet(str(tmp_path / "x"))
+    headers = exports.parquet_headers(spark, str(tmp_path / "x"))
+    assert {r.missing for r in quality.missing_columns(headers, rule.required_columns()).collect()} == {rule.columns["item"]}
     assert set(names) <= set(raw.columns) and raw.select("line_ord.file").first()[0].endswith(".parquet")
 
 
