@@ -169,10 +169,10 @@ def _export_names(platform: str) -> list[str]:
 
 
 def _write_export(rows: DataFrame, names: list[str], path: str, fmt: str) -> None:
-    """Land an export in folders per store and group of taxpayers. A range
-    keeps an order's lines together in one file and splits large folders."""
-    order = ["store", "taxpayer_group", "taxpayer_id", "order_no"]
-    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order, "line_ord")
+    """Land an export in folders per store and group of taxpayers. Ranges split
+    large folders; the files of a folder are named in the order of the rows."""
+    order = ["store", "taxpayer_group", "taxpayer_id", "order_no", "line_ord"]
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     columns = [F.col(f"`{n}`") for n in ["taxpayer_id", *names, "store", "taxpayer_group"]]
     writer = ordered.select(*columns).write.mode("append").partitionBy("store", "taxpayer_group")
     if fmt == "csv":

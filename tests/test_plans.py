@@ -42,6 +42,24 @@ def test_landed_lines_are_pruned_by_period(spark, tmp_path):
     assert re.search(r"PartitionFilters: \[[^\]]*1998[^\]]*3", plan_of(read))
 
 
+def test_landed_lines_keep_their_order(spark, tmp_path):
+    frame = hot_lines(spark, 3000).withColumn("line_ord", F.struct((F.col("line_ord") % 7).alias("file"), F.col("line_ord").alias("row")))
+    path = str(tmp_path / "lines")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        landing.write_order_lines(frame, path)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    read = landing.read_order_lines(spark, path)
+    # The hot order is split over several files and still has one row order.
+    assert read.select(F.col("_metadata.file_path")).distinct().count() > 1
+    before = ledger.order_totals(lines.dedup_lines(frame)).select("platform", "customer_name", "goods_c", "service_c")
+    after = ledger.order_totals(lines.dedup_lines(read)).select("platform", "customer_name", "goods_c", "service_c")
+    assert sorted(before.collect()) == sorted(after.collect())
+    plan = plan_of(threshold.status_from_lines(read))
+    assert "SortAggregate" not in plan
+
+
 def test_groups_are_combined_before_the_shuffle(spark):
     plan = plan_of(contract.queries()["threshold_status"](spark, SF))
     assert plan.count("functions=[partial_") == 4  # copies, orders, days, verdict
