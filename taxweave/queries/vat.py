@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from taxweave import fixtures as fx
-from taxweave.operators import inputs, invoices, ledger, lines, returns
+from taxweave.operators import inputs, invoices, ledger, lines
 from taxweave.plans import vat
 from taxweave.queries.sql import SOURCE, sql
 from taxweave.session import fresh_folder, settle
