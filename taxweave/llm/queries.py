@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxweave.llm import packing, token_files
+from taxweave.llm import packing, tiling, token_files
 from taxweave.llm.common import tables
 from taxweave.session import fresh_folder
 
@@ -16,6 +16,11 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op7_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold a benchmark item, and how much of it."""
+    return tiling.leaks(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "benchmark"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in sequences of at most 2048 tokens."""
     pieces = packing.cut(tables(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
@@ -31,6 +36,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op7_string_tiling": (op7_string_tiling, None),
     "op9_best_fit_packing": (op9_best_fit_packing, None),
     "op10_token_files": (op10_token_files, None),
 }
