@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxweave.llm import packing, tiling, token_files
+from taxweave.llm import packing, passages, tiling, token_files
 from taxweave.llm.common import tables
 from taxweave.session import fresh_folder
 
@@ -16,6 +16,12 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of passages that recur."""
+    kept = passages.remove_recurring(tables(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that hold a benchmark item, and how much of it."""
     return tiling.leaks(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "benchmark"))
@@ -36,6 +42,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_repeated_passages": (op4_repeated_passages, None),
     "op7_string_tiling": (op7_string_tiling, None),
     "op9_best_fit_packing": (op9_best_fit_packing, None),
     "op10_token_files": (op10_token_files, None),
