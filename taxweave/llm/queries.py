@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxweave.llm import packing, passages, tiling, token_files
-from taxweave.llm.common import tables
+from taxweave.llm import packing, passages, tiling, token_files, toxicity
+from taxweave.llm.common import in_class, tables
 from taxweave.session import fresh_folder
 
 
@@ -16,6 +16,16 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_toxic_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score, learned from the labelled ones outside the held-out fifth."""
+    docs, labels = (tables(spark, sf_dir, t) for t in ("documents", "labels"))
+    labels = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    held_out = in_class(F.col("doc_id"), 5, 0)
+    model = toxicity.learn(docs.filter(~held_out).select("doc_id", "text").join(labels, "doc_id"))
+    scored = toxicity.score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "text"), model)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the words of passages that recur."""
     kept = passages.remove_recurring(tables(spark, sf_dir, "documents"))
@@ -42,6 +52,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_toxic_clauses": (op3_toxic_clauses, None),
     "op4_repeated_passages": (op4_repeated_passages, None),
     "op7_string_tiling": (op7_string_tiling, None),
     "op9_best_fit_packing": (op9_best_fit_packing, None),
