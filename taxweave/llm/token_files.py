@@ -41,13 +41,9 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, width: int) -
     """(hash, bytes) of a zstandard dictionary trained on serialized id arrays of a bounded sample."""
     import zstandard
 
-    sample = (
-        tokens.texts_of(docs)
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(SAMPLE_DOCUMENTS)
-        .select(F.substring("text", 1, SAMPLE_CHARS))
-        .collect()
-    )
+    texts = tokens.texts_of(docs).withColumn("order", F.xxhash64("doc_id"))
+    last = texts.select("order").orderBy("order").limit(SAMPLE_DOCUMENTS).agg(F.max("order")).first()[0]
+    sample = texts.filter(F.col("order") <= F.lit(last)).limit(SAMPLE_DOCUMENTS).select(F.substring("text", 1, SAMPLE_CHARS)).collect()
     known = tokens.Encoder(tokenizer)
     arrays = [_narrow(known.encode(text or "") + end_id.to_bytes(4, "little"), width) for (text,) in sample]
     try:
@@ -154,8 +150,9 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     # One row for each written part, not for each block.
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = blocks.groupBy("part").agg(F.sum("ids").alias("ids")).select("part", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("parts_before"))
+    # As many rows as tasks wrote, so the ids needn't be shuffled to meet them.
     documents = _read_blocks(blocks, *_dictionary(spark, folder))
-    return documents.join(parts, "part").select("doc_id", (F.col("parts_before") + F.col("in_part")).alias("start"), "n_tokens", "ids")
+    return documents.join(F.broadcast(parts), "part").select("doc_id", (F.col("parts_before") + F.col("in_part")).alias("start"), "n_tokens", "ids")
 
 
 def read_document(spark: SparkSession, folder: str, doc_id: int) -> DataFrame:
