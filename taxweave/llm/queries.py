@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxweave.llm import packing, passages, tiling, token_files, toxicity
+from taxweave.llm import packing, passages, tiling, token_files, toxicity, wrappers
 from taxweave.llm.common import in_class, tables
 from taxweave.session import fresh_folder
 
@@ -32,6 +32,13 @@ def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_page_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page, by the wrapper of its host."""
+    pages = tables(spark, sf_dir, "pages")
+    texts = wrappers.main_text(pages, wrappers.infer(pages))
+    return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op7_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that hold a benchmark item, and how much of it."""
     return tiling.leaks(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "benchmark"))
@@ -54,6 +61,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_toxic_clauses": (op3_toxic_clauses, None),
     "op4_repeated_passages": (op4_repeated_passages, None),
+    "op5_page_wrappers": (op5_page_wrappers, None),
     "op7_string_tiling": (op7_string_tiling, None),
     "op9_best_fit_packing": (op9_best_fit_packing, None),
     "op10_token_files": (op10_token_files, None),
