@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxweave.llm import packing, passages, tiling, token_files, toxicity, wrappers
+from taxweave.llm import outliers, packing, passages, tiling, token_files, toxicity, wrappers
 from taxweave.llm.common import in_class, tables
 from taxweave.session import fresh_folder
 
@@ -44,6 +44,14 @@ def op7_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.leaks(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "benchmark"))
 
 
+def op8_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's statistics and whether the quality rules keep it."""
+    docs = tables(spark, sf_dir, "documents")
+    found = outliers.assess(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source"), ["doc_id"])
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return found.select("row.doc_id", *counts, "base_failed", "kept", "d2")
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in sequences of at most 2048 tokens."""
     pieces = packing.cut(tables(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
@@ -63,6 +71,7 @@ QUERIES = {
     "op4_repeated_passages": (op4_repeated_passages, None),
     "op5_page_wrappers": (op5_page_wrappers, None),
     "op7_string_tiling": (op7_string_tiling, None),
+    "op8_robust_outliers": (op8_robust_outliers, None),
     "op9_best_fit_packing": (op9_best_fit_packing, None),
     "op10_token_files": (op10_token_files, None),
 }
