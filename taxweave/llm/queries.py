@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxweave.llm import outliers, packing, passages, tiling, token_files, toxicity, wrappers
+from taxweave.llm import outliers, packing, passages, pii, tiling, token_files, toxicity, wrappers
 from taxweave.llm.common import in_class, tables
 from taxweave.session import fresh_folder
 
@@ -39,6 +39,15 @@ def op5_page_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op6_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: the base matches, and all spans that are accepted."""
+    docs = tables(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = pii.spans(docs, ["doc_id"]).withColumn("base", F.filter("spans", lambda s: s["base"]))
+    number = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    counts = [number(k).alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)]
+    return found.select("row.doc_id", *counts, F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"))
+
+
 def op7_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that hold a benchmark item, and how much of it."""
     return tiling.leaks(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "benchmark"))
@@ -70,6 +79,7 @@ QUERIES = {
     "op3_toxic_clauses": (op3_toxic_clauses, None),
     "op4_repeated_passages": (op4_repeated_passages, None),
     "op5_page_wrappers": (op5_page_wrappers, None),
+    "op6_weak_supervision": (op6_weak_supervision, None),
     "op7_string_tiling": (op7_string_tiling, None),
     "op8_robust_outliers": (op8_robust_outliers, None),
     "op9_best_fit_packing": (op9_best_fit_packing, None),
