@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxweave.llm import outliers, packing, passages, pii, tiling, token_files, toxicity, wrappers
+from taxweave.llm import jaccard, outliers, packing, passages, pii, tiling, token_files, toxicity, wrappers
 from taxweave.llm.common import in_class, tables
 from taxweave.session import fresh_folder
 
@@ -16,6 +16,11 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and the group of near duplicates it is in."""
+    return jaccard.near_duplicates(tables(spark, sf_dir, "documents"))
+
+
 def op3_toxic_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's score, learned from the labelled ones outside the held-out fifth."""
     docs, labels = (tables(spark, sf_dir, t) for t in ("documents", "labels"))
@@ -76,6 +81,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_jaccard_join": (op2_jaccard_join, None),
     "op3_toxic_clauses": (op3_toxic_clauses, None),
     "op4_repeated_passages": (op4_repeated_passages, None),
     "op5_page_wrappers": (op5_page_wrappers, None),
