@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxweave.llm import jaccard, outliers, packing, passages, pii, tiling, token_files, toxicity, wrappers
+from taxweave.llm import jaccard, katz, outliers, packing, passages, pii, tiling, token_files, toxicity, wrappers
 from taxweave.llm.common import in_class, tables
 from taxweave.session import fresh_folder
 
@@ -16,6 +16,11 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log probability under a model of the documents that are not held out."""
+    return katz.score(tables(spark, sf_dir, "documents"), ~in_class(F.col("doc_id"), 7, 2))
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document and the group of near duplicates it is in."""
     return jaccard.near_duplicates(tables(spark, sf_dir, "documents"))
@@ -81,6 +86,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_katz_backoff": (op1_katz_backoff, None),
     "op2_jaccard_join": (op2_jaccard_join, None),
     "op3_toxic_clauses": (op3_toxic_clauses, None),
     "op4_repeated_passages": (op4_repeated_passages, None),
