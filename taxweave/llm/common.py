@@ -34,12 +34,20 @@ def settle(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Remove the tables settled so far, once the results that read them are written."""
+def settled(spark: SparkSession) -> list[str]:
+    """The tables settled and not released so far."""
+    return list(_settled.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Remove these settled tables, once the results that read them are written."""
     context = spark.sparkContext
-    for path in _settled.pop(context.applicationId, []):
+    left = _settled.get(context.applicationId, [])
+    for path in paths:
         target = context._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+        if path in left:
+            left.remove(path)
 
 
 def words(text: Column) -> Column:
