@@ -38,7 +38,7 @@ def sales_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag"
     )
-    items = spread(items, "l_orderkey")
+    items = spread(items)
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
     key = F.col("l_orderkey")
     quantity, item = F.col("l_quantity").cast("long"), cents("l_extendedprice")

@@ -152,8 +152,8 @@ def threshold_status(
     )
 
 
-def daily_matrix(daily: DataFrame, stores: list[str], platforms=tuple(RULES)) -> DataFrame:
-    """One row per taxpayer and day, one column pair per store and platform.
+def daily_matrix(daily: DataFrame, stores: list[str], platforms=tuple(RULES), *more: Column) -> DataFrame:
+    """One row per taxpayer and day, one column pair per store and platform, and `more` aggregates.
 
     The columns are named by the caller, so no job has to look for them, and
     conditional sums need one shuffle where pivot() takes two. For the long
@@ -166,15 +166,13 @@ def daily_matrix(daily: DataFrame, stores: list[str], platforms=tuple(RULES)) ->
             for measure, name in (("order_c", "order_value"), ("ship_c", "shipping_value")):
                 value = F.sum(F.when(here, F.col(measure)).otherwise(F.lit(0)))
                 sums.append(value.alias(f"{store}_{platform.lower()}_{name}"))
-    return daily.groupBy("taxpayer_id", "date").agg(*sums)
+    return daily.groupBy("taxpayer_id", "date").agg(*sums, *more)
 
 
 def daily_report(daily: DataFrame, stores: list[str], as_of: dt.date | None = None) -> DataFrame:
     """The threshold job's report: every day with all measures, their sum and
-    the running total. Every measure belongs to one column, so the row sum is
-    the sum of the columns."""
-    wide = daily_matrix(daily, stores)
+    the running total. Sum and running total are those of all stores and platforms, also of
+    stores that are not named and so have no columns."""
+    wide = daily_matrix(daily, stores, tuple(RULES), F.sum(F.col("order_c") + F.col("ship_c")).alias("sum_c"))
     measures = [c for c in wide.columns if c not in ("taxpayer_id", "date")]
-    total = sum((F.col(f"`{m}`") for m in measures[1:]), F.col(f"`{measures[0]}`"))
-    dense = _fill_days(wide, ["taxpayer_id"], measures, as_of)
-    return running_total(dense.withColumn("sum_c", total))
+    return running_total(_fill_days(wide, ["taxpayer_id"], measures, as_of))

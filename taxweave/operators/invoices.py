@@ -195,13 +195,15 @@ def dedup_invoices(invoices: DataFrame, platforms=("Lazada",)) -> DataFrame:
     The first upload is picked by an aggregate that combines before the
     shuffle, so many copies of one document are no hot task.
     """
-    same = F.when(F.col("platform").isin(*platforms), F.col("doc_num")).otherwise(F.col("doc_id"))
-    rest = [c for c in invoices.columns if c not in SOURCE + PERIOD]
-    return (
-        invoices.groupBy(*SOURCE, *PERIOD, same.alias("same"))
+    numbered = F.coalesce(F.col("platform").isin(*platforms), F.lit(False))
+    rest = [c for c in invoices.columns if c not in SOURCE + PERIOD + ["doc_num"]]
+    first = (
+        invoices.filter(numbered)
+        .groupBy(*SOURCE, *PERIOD, "doc_num")
         .agg(F.min_by(F.struct(*rest), F.struct("upload_ord", "doc_id")).alias("kept"))
-        .select(*SOURCE, *PERIOD, *[F.col(f"kept.{c}").alias(c) for c in rest])
+        .select(*SOURCE, *PERIOD, "doc_num", *[F.col(f"kept.{c}").alias(c) for c in rest])
     )
+    return first.unionByName(invoices.filter(~numbered)).select(*invoices.columns)
 
 
 def distinct_taxpayers(invoices: DataFrame) -> DataFrame:

@@ -117,6 +117,16 @@ def dedup_lines(lines: DataFrame) -> DataFrame:
     return unique
 
 
+def dedup_uploads(lines: DataFrame) -> DataFrame:
+    """`dedup_lines` over files: copies count inside a file, and of several files the
+    one with most of them counts, so an export uploaded twice is no more than once."""
+    keys = [F.col(f"`{c}`") for c in lines.columns if c != ROW_ORDER]
+    in_file = lines.groupBy(*keys, F.col(f"{ROW_ORDER}.file").alias("upload_file")).agg(
+        F.min(ROW_ORDER).alias(ROW_ORDER), F.count(F.lit(1)).alias("copies")
+    )
+    return in_file.groupBy(*keys).agg(F.min(ROW_ORDER).alias(ROW_ORDER), F.max("copies").alias("copies"))
+
+
 def without_copies(lines: DataFrame) -> DataFrame:
     """`dedup_lines`, unless the lines are already free of copies."""
     return lines if "copies" in lines.columns else dedup_lines(lines)

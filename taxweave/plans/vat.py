@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from taxweave.operators import inputs, invoices, ledger, lines, returns
-from taxweave.session import settle
+from taxweave.session import settle, settling
 from taxweave.sinks import reports
 
 
@@ -52,11 +52,24 @@ def vat_months(
     return VatMonths(sales, purchases, returns.vat_return(sales, purchases))
 
 
-def file_returns(months: VatMonths, path: str) -> DataFrame:
+def file_returns(months: VatMonths, path: str, refiled: DataFrame | None = None) -> DataFrame:
     """Write both ledgers and the receipt manifest below `path` and compute the
-    returns from what was written, so lines and texts are read once."""
+    returns from what was written, so lines and texts are read once.
+
+    Filed are the taxpayers and months that either side has rows of, and those
+    of `refiled` (taxpayer_id, year, month), whose earlier rows go even where nothing
+    comes instead. Other taxpayers' and months' rows stay. Returns what was filed.
+    """
     spark = months.sales.sparkSession
-    fees = settle(months.purchases, "purchases")
-    reports.write_tax_ledgers(months.sales, fees.select(*invoices.PURCHASES), path)
-    reports.write_receipts(fees, f"{path}/receipts")
-    return returns.vat_return(spark.read.parquet(f"{path}/sales"), spark.read.parquet(f"{path}/purchases"))
+    unit = ["taxpayer_id", "year", "month"]
+    with settling(spark) as keep:
+        sales, fees = keep(months.sales, "sales"), keep(months.purchases, "purchases")
+        run = sales.select(*unit).union(fees.select(*unit))
+        run = settle((run if refiled is None else run.union(refiled.select(*unit))).distinct(), "filed")
+        reports.write_tax_ledgers(sales, fees.select(*invoices.PURCHASES), path, run=run)
+        reports.write_receipts(fees, f"{path}/receipts", run=run)
+    written = [
+        reports.read_written(spark, f"{path}/{side}", schema).join(run, unit, "left_semi")
+        for side, schema in (("sales", months.sales.schema), ("purchases", fees.select(*invoices.PURCHASES).schema))
+    ]
+    return returns.vat_return(*written)

@@ -72,20 +72,37 @@ def _landed(spark, sf_dir):
     return landing.read_order_lines(spark, path)
 
 
+def _long_ids(df):
+    """The tables' taxpayers are numbers; exports give ids as text, with their zeros."""
+    return df.withColumn("taxpayer_id", F.col("taxpayer_id").cast("long"))
+
+
 def land_order_lines(spark, sf_dir):
-    return _landed(spark, sf_dir).select(*EXPORTED, "year", "month", "copies")
+    return _long_ids(_landed(spark, sf_dir)).select(*EXPORTED, "year", "month", "copies")
+
+
+def land_second_upload(spark, sf_dir):
+    """All lines landed, then every third order once more in an upload of its own and
+    replaced there: what the first upload landed stays."""
+    rows = fx.canonical_lines(spark, sf_dir)
+    path = fresh_folder(spark, "lines")
+    landing.write_order_lines(lines.dedup_lines(rows), path, "first")
+    again = rows.filter(F.pmod(F.col("order_no").cast("long"), F.lit(3)) == 0).withColumn("order_no", F.concat(F.lit("x"), "order_no"))
+    for _ in range(2):
+        landing.write_order_lines(lines.dedup_lines(again), path, "second")
+    return landing.read_order_lines(spark, path).drop("line_ord")
 
 
 def threshold_from_exports(spark, sf_dir):
     """The threshold check from files to verdict."""
-    return plans_threshold.status_from_lines(_landed(spark, sf_dir))
+    return _long_ids(plans_threshold.status_from_lines(_landed(spark, sf_dir)))
 
 
 def vat_return_from_exports(spark, sf_dir):
     """The VAT return from files to the five measures."""
     pages = fresh_folder(spark, "pages")
     fx.invoice_pages(spark, sf_dir).write.parquet(pages)
-    return plans_vat.vat_months(_landed(spark, sf_dir), scan_invoice_docs(spark, pages)).summary
+    return plans_vat.vat_months(_long_ids(_landed(spark, sf_dir)), scan_invoice_docs(spark, pages)).summary
 
 
 def scan_input_manifest(spark, sf_dir):
@@ -158,8 +175,9 @@ def _months(year: int, last: int) -> str:
     return sql(
         f"""SELECT {SOURCE}, string_agg(CAST(m AS VARCHAR), ', ' ORDER BY m) AS missing_months,
   CASE platform WHEN 'TikTok' THEN 'reject' ELSE 'warn' END AS severity
-FROM (SELECT DISTINCT {SOURCE} FROM kept WHERE year = {year}), range(1, {last + 1}) AS months(m)
-WHERE ({SOURCE}, m) NOT IN (SELECT ({SOURCE}, CAST(month AS BIGINT)) FROM kept WHERE year = {year})
+FROM (SELECT DISTINCT {SOURCE} FROM kept WHERE year = {year}) s, range(1, {last + 1}) AS months(m)
+WHERE NOT EXISTS (SELECT 1 FROM kept k WHERE k.year = {year} AND k.taxpayer_id = s.taxpayer_id AND k.store = s.store
+  AND k.platform = s.platform AND k.month = m)
 GROUP BY {SOURCE}""",
         "kept",
     )
@@ -195,6 +213,15 @@ GROUP BY {SOURCE}, order_no, status, order_date, customer_name, item_c, disc_c,
             "lines",
         ),
     ),
+    "land_second_upload": (
+        land_second_upload,
+        sql(
+            f"""SELECT {threshold.LINE}, count(*) AS copies FROM lines GROUP BY ALL
+UNION ALL SELECT {threshold.LINE.replace("order_no", "'x' || order_no AS order_no")}, count(*) AS copies FROM lines
+WHERE CAST(order_no AS BIGINT) % 3 = 0 GROUP BY ALL""",
+            "lines",
+        ),
+    ),
     "threshold_from_exports": (threshold_from_exports, threshold.QUERIES["threshold_status"][1]),
     "vat_return_from_exports": (vat_return_from_exports, vat.QUERIES["vat_return"][1]),
     "scan_input_manifest": (

@@ -92,6 +92,19 @@ def write_receipts(spark, sf_dir):
     return spark.read.parquet(f"{path}/receipts")
 
 
+def refile_some_taxpayers(spark, sf_dir):
+    """All returns filed, then those of every seventh taxpayer once more, now without
+    sales after June: the others' ledgers stay and the refiled months are empty."""
+    path = fresh_folder(spark, "ledgers")
+    rows = fx.canonical_lines(spark, sf_dir)
+    vat.file_returns(vat.vat_months(rows, _docs(spark, sf_dir)), path)
+    mine = rows.filter(F.col("taxpayer_id") % 7 == 0)
+    no_fees = _docs(spark, sf_dir).filter("false")
+    months = vat.vat_months(mine.filter("month <= 6"), no_fees)
+    vat.file_returns(months, path, mine.select("taxpayer_id", "year", "month").distinct())
+    return spark.read.parquet(f"{path}/sales")
+
+
 def filed_returns(spark, sf_dir):
     """The returns computed from the written ledgers."""
     return _filed(spark, sf_dir)[1]
@@ -256,7 +269,8 @@ FROM (SELECT *, layout <> 'skip' AS found FROM page)""",
         supported_invoices_strict,
         sql(
             f"""SELECT doc_id, doc_date, company_name, tax_id, issuer, doc_num, before_vat_c, vat_c FROM supported
-WHERE ({SOURCE}, year, month) NOT IN (SELECT ({SOURCE}, year, month) FROM page WHERE kind = 'broken')""",
+WHERE NOT EXISTS (SELECT 1 FROM page b WHERE b.kind = 'broken' AND b.taxpayer_id = supported.taxpayer_id AND b.store = supported.store
+  AND b.platform = supported.platform AND b.year = supported.year AND b.month = supported.month)""",
             "supported", "page",
         ),
     ),
@@ -305,6 +319,7 @@ GROUP BY taxpayer_id, year, month, tax_key""",
     ),
     "receipt_manifest": (receipt_manifest, _RECEIPTS),
     "write_receipts": (write_receipts, _RECEIPTS),
+    "refile_some_taxpayers": (refile_some_taxpayers, sql(f"SELECT {LEDGER} FROM sales WHERE taxpayer_id % 7 <> 0 OR month <= 6", "sales")),
     "filed_returns": (filed_returns, sql(_RETURN.format(sales="", fees=""), "sales", "purchases")),
     "receipt_bundles": (
         receipt_bundles,

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,14 +36,10 @@ def build_session(app: str = "taxweave", master: str | None = None, **settings:
     return builder.getOrCreate()
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Deal out a scan that has fewer splits than there are cores, such as one
-    file with one row group. A scan with more splits stays as it is, so large
-    tables are not shuffled for this."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, key)
+def spread(df: DataFrame) -> DataFrame:
+    """Deal out rows evenly, whatever the size of the scan and the splits of its
+    files. No key decides where a row goes, so a hot one is split too."""
+    return df.hint("rebalance")
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -77,3 +75,30 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     path = fresh_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def settling(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """`settle` for tables that nothing needs after this block; they are removed then."""
+    paths = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        paths.append(fresh_folder(spark, name))
+        df.write.parquet(paths[-1])
+        return spark.read.schema(df.schema).parquet(paths[-1])
+
+    try:
+        yield keep
+    finally:
+        for path in paths:
+            remove(spark, path)

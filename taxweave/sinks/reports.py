@@ -10,41 +10,74 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from taxweave.operators.lines import SOURCE
+from taxweave.session import exists, remove, settling
 
 
-def _write_sorted(df: DataFrame, path: str, folders: list[str], order: list[str], fmt: str) -> None:
-    (
-        df.repartitionByRange(*folders, *order)
-        .sortWithinPartitions(*folders, *order)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .option("header", "true")
-        .partitionBy(*folders)
-        .format(fmt)
-        .save(path)
-    )
+def read_written(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet") -> DataFrame:
+    """What was written below path; no rows if nothing was yet."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).format(fmt).option("header", "true").load(path)
+
+
+def _write_sorted(
+    df: DataFrame, path: str, folders: list[str], order: list[str], fmt: str, run: DataFrame | None = None
+) -> None:
+    """Replace the rows of the run's taxpayers in the run's folders; all other rows stay.
+
+    `run` has the run's taxpayers and folders, also those without rows now, whose
+    earlier rows go. Without it they are those of the rows themselves.
+    """
+    spark = df.sparkSession
+    with settling(spark) as keep:
+        new = keep(df, "report")
+        unit = ["taxpayer_id", *folders]
+        touched = keep((new if run is None else new.select(*unit).union(run.select(*unit))).select(*unit).distinct(), "touched")
+        old = read_written(spark, path, df.schema, fmt).select(*df.columns)
+        same = [F.col(f"old.{c}").eqNullSafe(F.col(f"run.{c}")) for c in unit]
+        near = old.alias("old").join(touched.alias("run"), same[1:], "left_semi")
+        others = keep(near.alias("old").join(touched.alias("run"), same, "left_anti"), "others")
+        (
+            others.unionByName(new)
+            .repartitionByRange(*folders, *order)
+            .sortWithinPartitions(*folders, *order)
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .option("header", "true")
+            .partitionBy(*folders)
+            .format(fmt)
+            .save(path)
+        )
+        # A folder without any row left is not written, so its old files go here.
+        left = others.select(*folders).union(new.select(*folders)).distinct()
+        empty = touched.select(*folders).distinct().join(left, folders, "left_anti")
+        for row in empty.toLocalIterator():  # one row for each year or month
+            remove(spark, path + "".join(f"/{c}={row[c]}" for c in folders))
 
 
 def write_daily_sales(report: DataFrame, path: str, fmt: str = "parquet") -> None:
     """The daily report with sum and running total, one folder per year. A
-    year is replaced as a whole; other years stay."""
+    year of the report's taxpayers is replaced as a whole; other years and taxpayers stay."""
     _write_sorted(report, path, ["year"], ["taxpayer_id", "date"], fmt)
 
 
-def write_tax_ledgers(sales: DataFrame, purchases: DataFrame, path: str, fmt: str = "parquet") -> None:
+def write_tax_ledgers(
+    sales: DataFrame, purchases: DataFrame, path: str, fmt: str = "parquet", run: DataFrame | None = None
+) -> None:
     """Output-tax and input-tax reports, one folder per year and month."""
-    _write_sorted(sales, f"{path}/sales", ["year", "month"], [*SOURCE, "order_date", "order_no"], fmt)
-    _write_sorted(purchases, f"{path}/purchases", ["year", "month"], [*SOURCE, "doc_date", "doc_num"], fmt)
+    _write_sorted(sales, f"{path}/sales", ["year", "month"], [*SOURCE, "order_date", "order_no"], fmt, run)
+    _write_sorted(purchases, f"{path}/purchases", ["year", "month"], [*SOURCE, "doc_date", "doc_num"], fmt, run)
 
 
-def write_receipts(invoices: DataFrame, path: str, fmt: str = "parquet") -> None:
+def write_receipts(invoices: DataFrame, path: str, fmt: str = "parquet", run: DataFrame | None = None) -> None:
     """The receipt manifest, one folder per year and month."""
     order = ["taxpayer_id", "bundle", "doc_date", "doc_num", "file_name"]
-    _write_sorted(_receipts(invoices), path, ["year", "month"], order, fmt)
+    _write_sorted(_receipts(invoices), path, ["year", "month"], order, fmt, run)
 
 
 BUNDLE = ["taxpayer_id", "year", "month", "bundle"]

@@ -6,6 +6,7 @@ and store are columns of the file or parts of its folder, like store=x.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
 from urllib.parse import quote
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 # pandas reads a doubled quote inside quotes as one quote; so does this.
 CSV_OPTIONS = {"header": "true", "escape": '"', "encoding": "UTF-8"}
 HEADER_BYTES = 1 << 16
+CSV_FILES = "*.[cC][sS][vV]"
 
 
 def list_files(spark: SparkSession, root: str | list[str], pattern: str = "*") -> DataFrame:
@@ -56,7 +58,7 @@ def _first_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def csv_headers(
-    spark: SparkSession, root: str | list[str], pattern: str = "*.csv", by_scan: bool = False
+    spark: SparkSession, root: str | list[str], pattern: str = CSV_FILES, by_scan: bool = False
 ) -> DataFrame:
     """One row per CSV file: file_path and header (array of column names).
 
@@ -112,7 +114,8 @@ def header_names(line):
 def with_source(df: DataFrame) -> DataFrame:
     """Add what the file's place tells: taxpayer and store where they are no
     columns, and the row order of the upload as file, block, row in block."""
-    path = F.col("_metadata.file_path")
+    # The path is URL-encoded; a plus in it is a plus.
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     placed = {
         name: F.nullif(F.regexp_extract(path, f"/{name}=([^/]*)/", 1), F.lit(""))
         for name in ("taxpayer_id", "store")
@@ -128,23 +131,33 @@ def _read_csv(spark: SparkSession, root: str, paths: list[str] | None, header: l
     schema = ", ".join("`" + name.replace("`", "``") + "` string" for name in header)
     reader = spark.read.options(**CSV_OPTIONS).option("multiLine", str(multi_line).lower()).schema(schema)
     if paths is None:
-        return with_source(reader.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").csv(root))
-    return with_source(reader.csv(paths))
+        return with_source(reader.option("recursiveFileLookup", "true").option("pathGlobFilter", CSV_FILES).csv(root))
+    # A path is read as a pattern, so its own signs are escaped.
+    return with_source(reader.csv([re.sub(r"([\\\\\[\]{}*?,])", r"\\\1", p) for p in paths]))
+
+
+def _as_text(name: str, kind: str, date_format: str | None):
+    """A cell as the export writes it; workbooks keep days as dates and times."""
+    column = F.col(f"`{name}`")
+    if date_format and (kind == "date" or kind.startswith("timestamp")):
+        return F.date_format(column, date_format)
+    return column.cast("string")
 
 
 def scan_order_export(
-    spark: SparkSession, root: str, multi_line: bool = False, fmt: str = "csv"
+    spark: SparkSession, root: str, multi_line: bool = True, fmt: str = "csv", date_format: str | None = None
 ) -> DataFrame:
     """All exports below a folder, every column as string, plus `line_ord`.
 
     Columns are matched by name. CSV files are read once per distinct header,
     of which there are as many as the marketplace had export versions; the
     reader itself would match by position. `multi_line` lets quoted cells hold
-    line breaks, but then a file is not split over tasks.
+    line breaks, but then a file is not split over tasks. `date_format` is how the
+    platform writes dates and times, for landed workbooks that keep them typed.
     """
     if fmt == "parquet":
         raw = with_source(spark.read.option("recursiveFileLookup", "true").option("mergeSchema", "true").parquet(root))
-        kept = [F.col(f"`{c}`").cast("string").alias(c) for c in raw.columns if c != "line_ord"]
+        kept = [_as_text(c, kind, date_format).alias(c) for c, kind in raw.dtypes if c != "line_ord"]
         return raw.select(*kept, "line_ord")
     headers = csv_headers(spark, root)
     versions = [row["header"] for row in headers.select("header").distinct().collect()]
