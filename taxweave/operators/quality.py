@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from taxweave.functions import calendar
 from taxweave.operators.lines import SOURCE, is_open, per_platform
+from taxweave.session import settle
 
 
 def _rows_per_period(lines: DataFrame) -> DataFrame:
@@ -73,8 +74,17 @@ def wrong_period_sources(lines: DataFrame, year: int) -> DataFrame:
 
 
 def reject_wrong_period(lines: DataFrame, year: int) -> DataFrame:
-    """Lines of sources that pass `wrong_period_sources`."""
-    return lines.join(wrong_period_sources(lines, year), SOURCE, "left_anti")
+    """Lines of sources that pass `wrong_period_sources`.
+
+    The findings are written first, so Spark knows their size when it joins the lines.
+    """
+    return lines.join(settle(wrong_period_sources(lines, year).select(*SOURCE), "wrong_period"), SOURCE, "left_anti")
+
+
+def reject_missing_months(lines: DataFrame, year: int, as_of: dt.date) -> DataFrame:
+    """Lines of sources whose platform wants every month and whose months are all there."""
+    missing = missing_months(lines, year, as_of).filter("severity = 'reject'").select(*SOURCE)
+    return lines.join(settle(missing, "missing_months"), SOURCE, "left_anti")
 
 
 def foreign_period_rows(lines: DataFrame, year: int, month: int | None = None) -> DataFrame:

@@ -66,6 +66,14 @@ def threshold_check(
     return ThresholdCheck(sales, status_from_daily(sales), daily.daily_report(sales, stores, as_of))
 
 
+def strict_lines(order_lines: DataFrame, year: int, as_of: dt.date) -> DataFrame:
+    """Lines of the year without the sources that `findings` rejects: those with rows of other
+    years only, and those of a platform that wants every month, with a month missing."""
+    kept = lines.drop_cancelled(order_lines)
+    inside = lines.filter_period(quality.reject_wrong_period(kept, year), year)
+    return quality.reject_missing_months(inside, year, as_of)
+
+
 def findings(order_lines: DataFrame, year: int, as_of: dt.date) -> dict[str, DataFrame]:
     """What a user should look at before trusting the result, by name."""
     kept = lines.drop_cancelled(order_lines)

@@ -52,6 +52,24 @@ def vat_months(
     return VatMonths(sales, purchases, returns.vat_return(sales, purchases))
 
 
+def open_choices(purchases: DataFrame) -> DataFrame:
+    """taxpayer_id, year, month and tax_ids of periods whose invoices name several tax ids."""
+    return invoices.distinct_taxpayers(purchases).filter("needs_choice").drop("needs_choice")
+
+
+def gated(months: VatMonths) -> VatMonths:
+    """The months without periods where a tax id is still to be chosen (`open_choices`).
+
+    The ledgers are far smaller than lines and texts; the purchases are written once, as both
+    the choice and the returns need them.
+    """
+    purchases = settle(months.purchases, "purchases")
+    waiting = open_choices(purchases)
+    sales, fees = (side.join(waiting, ["taxpayer_id", "year", "month"], "left_anti") for side in (months.sales, purchases))
+    sales, fees = sales.select(*months.sales.columns), fees.select(*purchases.columns)
+    return VatMonths(sales, fees, returns.vat_return(sales, fees))
+
+
 def file_returns(months: VatMonths, path: str, refiled: DataFrame | None = None) -> DataFrame:
     """Write both ledgers and the receipt manifest below `path` and compute the
     returns from what was written, so lines and texts are read once.

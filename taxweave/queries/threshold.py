@@ -14,6 +14,7 @@ from taxweave.session import fresh_folder
 from taxweave.sinks import reports
 
 MID_YEAR = dt.date(2001, 6, 15)
+SEEN_ON = dt.date(2001, 9, 10)
 JANUARY = dt.date(2001, 1, 10)
 LINE = "taxpayer_id, store, platform, order_no, status, order_date, customer_name, item_c, disc_c, ship_c, sku, quantity, year, month"
 LINE_COLUMNS = LINE.split(", ")
@@ -31,6 +32,12 @@ def threshold_status(spark, sf_dir):
     return threshold.status_from_lines(fx.canonical_lines(spark, sf_dir))
 
 
+def threshold_status_strict(spark, sf_dir):
+    """The verdict of 2001 on sources that are complete."""
+    kept = threshold.strict_lines(fx.canonical_lines(spark, sf_dir), 2001, SEEN_ON)
+    return threshold.status_from_lines(kept, 2001).drop("reached_label", "total_label")
+
+
 def drop_cancelled(spark, sf_dir):
     return lines.drop_cancelled(fx.canonical_lines(spark, sf_dir)).drop("line_ord")
 
@@ -138,6 +145,21 @@ FROM (SELECT taxpayer_id, year, min(CASE WHEN cum_c >= 180000000 THEN date END)
             "running",
         ),
     ),
+    "threshold_status_strict": (
+        threshold_status_strict,
+        sql(
+            f"""SELECT taxpayer_id, year, CASE WHEN reached_on IS NOT NULL THEN 'red' WHEN top_c > 150000000 THEN 'amber' ELSE 'green' END AS status,
+  reached_on, total_c
+FROM (SELECT taxpayer_id, year, min(CASE WHEN cum_c >= 180000000 THEN date END) AS reached_on, max(cum_c) AS top_c,
+             CAST(sum(sum_c) AS BIGINT) AS total_c
+      FROM (SELECT taxpayer_id, CAST(year(date) AS INTEGER) AS year, date, sum_c, sum(sum_c) OVER (PARTITION BY taxpayer_id ORDER BY date) AS cum_c
+            FROM (SELECT taxpayer_id, date, sum(order_c + ship_c) AS sum_c FROM daily WHERE year(date) = 2001 AND (platform <> 'TikTok' OR
+                    EXISTS (SELECT 1 FROM (SELECT {SOURCE} FROM kept WHERE year = 2001 AND month <= 8 GROUP BY {SOURCE} HAVING count(DISTINCT month) = 8) f
+                      WHERE f.taxpayer_id = daily.taxpayer_id AND f.store = daily.store AND f.platform = daily.platform))
+                  GROUP BY taxpayer_id, date)) GROUP BY taxpayer_id, year)""",
+            "daily", "kept",
+        ),
+    ),
     "drop_cancelled": (drop_cancelled, sql(f"SELECT {LINE} FROM kept", "kept")),
     "filter_period": (filter_period, sql(f"SELECT {LINE} FROM lines WHERE year = 1998 AND month = 3", "lines")),
     "exclude_open_month": (

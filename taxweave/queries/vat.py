@@ -114,6 +114,11 @@ def vat_return(spark, sf_dir):
     return vat.vat_months(fx.canonical_lines(spark, sf_dir), _docs(spark, sf_dir)).summary
 
 
+def vat_return_gated(spark, sf_dir):
+    """Returns of the periods whose invoices name one tax id at most."""
+    return vat.gated(vat.vat_months(fx.canonical_lines(spark, sf_dir), _docs(spark, sf_dir))).summary
+
+
 def vat_return_selected(spark, sf_dir):
     """One month, selected platforms and the taxpayer's own tax id only."""
     return vat.vat_months(
@@ -206,6 +211,10 @@ FROM (SELECT taxpayer_id, year, month, coalesce(sales_before_vat_c, 0) AS sales_
         FROM purchases {fees} GROUP BY taxpayer_id, year, month) USING (taxpayer_id, year, month))"""
 _SELECTED = "WHERE year = 1998 AND month = 3 AND (platform <> 'TikTok' OR taxpayer_id % 10 <> 0)"
 
+_ONE_ID = """WHERE NOT EXISTS (SELECT 1 FROM (SELECT taxpayer_id, year, month FROM purchases GROUP BY taxpayer_id, year, month
+  HAVING count(DISTINCT lower(replace(tax_id, ' ', ''))) > 1) c
+  WHERE c.taxpayer_id = {side}.taxpayer_id AND c.year = {side}.year AND c.month = {side}.month)"""
+
 _RECEIPTS = sql(
     """SELECT taxpayer_id, year, month, store || '_' || platform || '_commission_receipt' AS bundle, doc_date, doc_num, file_name
 FROM purchases ORDER BY 1, 2, 3, 4, 5, 6, 7""",
@@ -231,6 +240,10 @@ UNION ALL SELECT {SOURCE}, year, month, 'fee' AS side, NULL AS order_no, doc_num
     "write_sales_ledger": (write_sales_ledger, sql(f"SELECT {LEDGER} FROM sales", "sales")),
     "write_purchase_ledger": (write_purchase_ledger, sql(f"SELECT {PURCHASE} FROM purchases", "purchases")),
     "vat_return": (vat_return, sql(_RETURN.format(sales="", fees=""), "sales", "purchases")),
+    "vat_return_gated": (
+        vat_return_gated,
+        sql(_RETURN.format(sales=_ONE_ID.format(side="sales"), fees=_ONE_ID.format(side="purchases")), "sales", "purchases"),
+    ),
     "vat_return_selected": (
         vat_return_selected,
         sql(_RETURN.format(sales=_SELECTED, fees=_SELECTED + " AND company_name LIKE 'Company %'"), "sales", "purchases"),
