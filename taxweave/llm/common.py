@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,18 +20,21 @@ PIECE_BYTES = 1 << 21
 _settled: dict[str, list[str]] = {}
 
 
-def settle(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+def settle(df: DataFrame, name: str, partition_by: str | None = None, large: bool = False) -> DataFrame:
     """Write to the shared folder and go on from the written table; `release` removes it.
 
     The shuffle files behind the table aren't needed any more. Spark removes them when the driver has
-    collected its garbage, which it is asked for here, so that they don't add up over the steps.
+    collected its garbage, which it is asked for behind a large table, so that they don't add up over the steps.
     """
     spark = df.sparkSession
     path = fresh_folder(spark, name)
     _settled.setdefault(spark.sparkContext.applicationId, []).append(path)
     (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    if large:
+        for _ in range(2):  # what the listeners still hold after the first time goes the second time
+            gc.collect()
+            spark.sparkContext._jvm.System.gc()
+            time.sleep(1)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -247,10 +247,10 @@ def score(docs: DataFrame, train: Column, order: int = ORDER, block_bytes: int =
     )
     by_block = base.groupBy("block")
     counted = by_block.applyInArrow(_count(order, blocks), COUNTS)
-    answers = settle(counted.groupBy("order", "bucket").applyInArrow(_answer, ANSWERS), "counts", "order")
+    answers = settle(counted.groupBy("order", "bucket").applyInArrow(_answer, ANSWERS), "counts", "order", large=True)
     model = _model(answers, order, documents)
     replies = answers.filter("block is not null").select("order", "bucket", "block", "payload")
-    scored = settle(by_block.cogroup(replies.groupBy("block")).applyInArrow(_score(model), SCORED), "scored", "kind")
+    scored = settle(by_block.cogroup(replies.groupBy("block")).applyInArrow(_score(model), SCORED), "scored", "kind", large=True)
     backoff = settle(weights(scored.filter("kind = 'history'")), "backoff", "order")
     open_ = scored.filter("kind = 'open'").select("block", "row", "order", "hist", "n")
     taken = open_.join(backoff, ["order", "hist"]).groupBy("block", "row").agg(F.sum(F.col("n") * F.col("log_weight")).alias("weights"))
