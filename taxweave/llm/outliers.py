@@ -29,6 +29,8 @@ WINDOW = 5
 LEAST_WORDS, MOST_REPEATED_PERCENT = 10, 20
 
 KEPT_SHARE, STEPS, LEAST_ROWS = 0.75, 3, 50
+#: Estimates of so many pools are sent to all tasks, so that the documents of a hot pool stay where they are.
+POOLS_SENT = 20_000
 #: For 5 statistics: 0.75 / P(chi-square with 7 degrees <= 75 % quantile of that with 5).
 CONSISTENCY = 1.412
 #: Tail of 1e-6 of the chi-square distribution with 5 degrees of freedom.
@@ -113,9 +115,14 @@ def _factored(estimates: DataFrame) -> DataFrame:
     return estimates
 
 
+def _sent(of_pools: DataFrame) -> DataFrame:
+    """A short row for each pool, broadcast if they are few; else Spark picks the join."""
+    return F.broadcast(of_pools) if of_pools.count() <= POOLS_SENT else of_pools
+
+
 def _with_distance(points: DataFrame, estimates: DataFrame) -> DataFrame:
     keys = [(i, k) for i in range(len(NAMES)) for k in range(i + 1)]
-    joined = points.join(_factored(estimates), "pool", "left")
+    joined = points.join(_sent(_factored(estimates)), "pool", "left")
     distance = _distance([F.col(f"m_{i}") for i in range(len(NAMES))], {(i, k): F.col(f"l_{i}_{k}") for i, k in keys})
     return joined.select(*points.columns, distance.alias("d2"))
 
@@ -124,7 +131,7 @@ def _start(points: DataFrame) -> DataFrame:
     """Medians and median deviations of each pool, as centers and a diagonal covariance."""
     median = lambda c: F.percentile_approx(c, 0.5, 1000)
     centers = points.groupBy("pool").agg(*[median(n).alias(f"m_{i}") for i, n in enumerate(NAMES)])
-    off = points.join(centers, "pool").groupBy("pool", *[f"m_{i}" for i in range(len(NAMES))])
+    off = points.join(_sent(settle(centers, "centers")), "pool").groupBy("pool", *[f"m_{i}" for i in range(len(NAMES))])
     spread = off.agg(*[median(F.abs(F.col(n) - F.col(f"m_{i}"))).alias(f"mad_{i}") for i, n in enumerate(NAMES)])
     squares = [(F.pow(1.4826 * F.col(f"mad_{i}"), 2) + FEATURES[n][1] ** 2).alias(f"s_{i}_{i}") for i, n in enumerate(NAMES)]
     zeros = [F.lit(0.0).alias(f"s_{i}_{k}") for i in range(len(NAMES)) for k in range(i)]
@@ -135,7 +142,7 @@ def _step(points: DataFrame, estimates: DataFrame) -> DataFrame:
     """Means and covariances of the closest 75 % under the estimates so far."""
     far = _with_distance(points, estimates)
     limits = far.groupBy("pool").agg(F.percentile_approx("d2", KEPT_SHARE, 1000).alias("limit"))
-    close = far.join(limits, "pool").filter(F.col("d2") <= F.col("limit")).groupBy("pool")
+    close = far.join(_sent(settle(limits, "limits")), "pool").filter(F.col("d2") <= F.col("limit")).groupBy("pool")
     means = [F.avg(n).alias(f"m_{i}") for i, n in enumerate(NAMES)]
     spreads = []
     for i, a in enumerate(NAMES):
@@ -159,7 +166,7 @@ def assess(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
     for _ in range(STEPS):
         estimates = settle(_step(points, estimates), "estimates")
     large = points.groupBy("pool").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_ROWS).select("pool")
-    estimates = estimates.join(large, "pool")
+    estimates = settle(estimates.join(large, "pool"), "estimates")
     every = stats.alias("a").join(pools.alias("p"), on, "left").select("a.*", "pool", *values)
     found = _with_distance(every, estimates).drop("pool", *NAMES)
     return found.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("d2") <= CUTOFF, F.lit(True)))
