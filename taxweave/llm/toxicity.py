@@ -8,7 +8,7 @@ by what its clauses gained, through a logistic curve fitted to labelled rows.
 
 Insults are learned: words and beginnings of words that stand in toxic documents, each counted once
 for each pair of neighbours, so that a text copied a thousand times counts as one. Learning takes a bounded
-sample of labelled rows, at most SAMPLE of each class, chosen by the hash of the text.
+sample of labelled rows, at most SAMPLE ids of each class, chosen by the hash of the id.
 
 Null and empty texts have no clause and get the score of the intercept. Rows of documents are scored
 each for itself; of several labels for one id the highest counts. Without labels of both classes the
@@ -26,6 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from taxweave.llm.common import settle
+
 SAMPLE = 6000
 STEMS = range(4, 8)
 LEAST_CONTEXTS, LEAST_ODDS = 6, 3.0
@@ -195,19 +197,25 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
-def learn(labelled: DataFrame, sample: int = SAMPLE) -> Model:
-    """From rows of (text, toxic)."""
-    rows = labelled.filter("toxic is not null").select("text", (F.col("toxic") > 0).cast("int").alias("toxic"))
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+    """From texts of docs (doc_id, text) with labels (doc_id, toxic).
+
+    Of each class the `sample` ids of least hash are taken, so that no more than these
+    are sent to where the texts are, and the texts are never moved to be chosen.
+    """
+    known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    chosen = [known.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (1, 0)]
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen[0].union(chosen[1])), "doc_id").select("text", "toxic")
+    rows = settle(rows, "labelled")
     counts = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = counts.get(1, 0), counts.get(0, 0)
     if not n_toxic or not n_clean:
         share = (n_toxic + 1) / (n_toxic + n_clean + 10)
         return Model({}, [0.0] * len(FEATURES), math.log(share / (1 - share)))
-    taken = [rows.filter(F.col("toxic") == k).orderBy(F.xxhash64("text"), "text").limit(sample).repartition(16) for k in (1, 0)]
-    lexicon = _lexicon(*taken, min(n_toxic, sample), min(n_clean, sample))
-    points = taken[0].union(taken[1]).select(F.struct("toxic").alias("row"), "text")
+    lexicon = _lexicon(rows.filter("toxic = 1"), rows.filter("toxic = 0"), n_toxic, n_clean)
+    points = rows.select(F.struct("toxic").alias("row"), "text")
     points = points.mapInArrow(_features(lexicon), "row struct<toxic:int>, " + ", ".join(f"{f} double" for f in FEATURES))
-    table = np.array([(*r[1:], r.row.toxic) for r in points.collect()], float)  # at most 2 * sample short rows
+    table = np.array([(*r[1:], r.row.toxic) for r in points.collect()], float)  # short rows, bounded by the sample
     *weights, intercept = _logistic(table[:, :-1], table[:, -1]).tolist()
     return Model(lexicon, weights, intercept)
 

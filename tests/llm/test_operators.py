@@ -95,7 +95,7 @@ def test_toxicity_on_held_out_rows(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     rows = docs.join(labels, "doc_id")
     held_out = common.in_class(F.col("doc_id"), 5, 0)
-    found = toxicity.learn(rows.filter(~held_out), 300)
+    found = toxicity.learn(docs, labels.filter(~held_out), 300)
     scored = toxicity.score(rows.filter(held_out), found).select("toxic", "score").collect()
     assert np.mean([(r.score >= 0.5) == r.toxic for r in scored]) > 0.95
 
@@ -109,7 +109,7 @@ def test_grammar_weighs_clauses():
 
 
 def test_toxicity_without_labels(odd, empty):
-    found = toxicity.learn(empty.select("text", F.lit(1).alias("toxic")))
+    found = toxicity.learn(empty, odd.limit(0).select("doc_id", F.lit(1).alias("toxic")))
     scored = toxicity.score(odd, found, "toxicity")
     assert scored.columns == [*odd.columns, "toxicity"]
     assert {round(r.toxicity, 6) for r in scored.select("toxicity").collect()} == {0.1}
