@@ -9,7 +9,11 @@ Each task aligns the pages of a host it meets, then wrappers are aligned with ea
 GROUPS parts of a host and then over the host, so a host with most of the pages is no single task's work.
 
 The finished wrapper names the element that holds the article and the parts of it that are none. A page is read
-along its host's wrapper; what stands outside the article, or in parts that are none, is left out.
+along its host's wrapper, or along its own if it has no such element; what stands outside the article, or in parts that
+are none, is left out. Parts that are none are known by their tag or a whole class name, but what holds most of the
+text outside links is kept whatever its name (comments are not), and so is what an article or main element stands in.
+
+Elements below MOST_DEPTH are read in order as if they stood beside each other; inside a part that is none they are none too.
 
 Null and empty pages give an empty text; a null or odd url counts as the host ''. Repeated pages are pages
 each for itself. Other columns are not looked at.
@@ -29,7 +33,7 @@ from taxweave.llm.common import pieces
 
 MAX_PERIOD = 4
 GROUPS = 64
-MOST_DEPTH = 60  # elements nested deeper are read as if they were flat
+MOST_DEPTH = 60  # elements nested deeper stand in the tree beside each other
 
 # Fixed word lists.
 BLOCKS = set(
@@ -45,6 +49,7 @@ HINTS = set(
     " footer header comment comments reply replies respond discussion notice notices cookie cookies consent popup modal overlay newsletter subscribe"
     " share sharing social related recommended widget login signup toolbar pagination pager".split()
 )
+DISCUSSION = set("comment comments reply replies respond discussion".split())
 ARTICLE = set("article main".split())
 ARTICLE_HINTS = set("article content main post entry story maintext articlebody postbody entrycontent articlecontent postcontent maincontent".split())
 
@@ -88,14 +93,16 @@ def _stream(page: str):
 def tree(page: str) -> dict:
     """The page's blocks: label, children, and for '#' the text and how much of it is in links."""
     root = {"t": "", "c": []}
-    stack = [root]
-
-    def tag(node):
-        return node["t"].partition(".")[0]
+    stack = [("", root)]  # tags and nodes of the open elements
 
     for kind, value, link in _stream(page):
-        here = stack[-1]
+        tag, here = stack[-1]
         if kind == "text":
+            holder = stack[min(len(stack), MOST_DEPTH) - 1][1]
+            if len(stack) > MOST_DEPTH and holder["c"][-1] is not here and not value.isspace():  # a deep element goes on behind another one
+                here = {"t": here["t"], "c": []}
+                holder["c"].append(here)
+                stack[-1] = (tag, here)
             last = here["c"][-1] if here["c"] else None
             if last is None or last["t"] != "#":
                 if value.isspace():
@@ -106,18 +113,19 @@ def tree(page: str) -> dict:
             last["link"] += len(value) if link else 0
         elif kind == "open":
             name = value.partition(".")[0]
-            if name in ENDS_PARAGRAPH and tag(here) == "p" or name == "li" and tag(here) == "li":
+            if name in ENDS_PARAGRAPH and tag == "p" or name == "li" and tag == "li":
                 stack.pop()
+            if len(stack) > MOST_DEPTH and _is_none(stack[-1][1]["t"]):
+                value = stack[-1][1]["t"]
             node = {"t": value, "c": []}
-            stack[-1]["c"].append(node)
-            if len(stack) < MOST_DEPTH:
-                stack.append(node)
+            stack[min(len(stack), MOST_DEPTH) - 1][1]["c"].append(node)
+            stack.append((name, node))
         else:
             for depth in range(len(stack) - 1, 0, -1):
-                if tag(stack[depth]) == value:
+                if stack[depth][0] == value:
                     del stack[depth:]
                     break
-                if tag(stack[depth]) in ("article", "main", "body") and value in ("p", "li"):
+                if stack[depth][0] in ("article", "main", "body") and value in ("p", "li"):
                     break
     return root
 
@@ -187,73 +195,120 @@ def expression(node: dict) -> str:
     return f"({text}){mark}" if mark and node["t"] != "()" else text + mark
 
 
+def _hints(label: str) -> set[str]:
+    """Words of HINTS that are a whole class name, or all parts of one."""
+    tag, *names = label.split(".")
+    if tag in ("html", "body", "main"):
+        return set()
+    parts = [set(re.split(r"[-_]", name)) for name in names]
+    return {word for some in parts if some <= HINTS for word in some}
+
+
 def _is_none(label: str) -> bool:
-    """Whether an element of this label is never part of an article."""
+    """Whether an element of this label is no part of an article, by its name."""
+    return label.partition(".")[0] in NEVER or bool(_hints(label))
+
+
+def _rank(label: str) -> int:
     tag, *names = label.split(".")
-    return tag in NEVER or any(part in HINTS for name in names for part in re.split(r"[-_]", name))
+    return 2 if tag == "article" else 1 if tag == "main" or any(re.sub(r"[-_]", "", n) in ARTICLE_HINTS for n in names) else 0
+
+
+def _weigh(node: dict) -> int:
+    """Sets "raw", the text outside links whatever holds it."""
+    if node["t"] == "#":
+        node["raw"] = max(0, node["chars"] - 2 * node["link"])
+    else:
+        inner = sum(map(_weigh, node["c"]))
+        node["raw"] = 0 if node["t"].partition(".")[0] in ("head", "title") else inner
+    return node["raw"]
+
+
+def _dropped(node: dict, whole: int) -> bool:
+    """Whether an element is left out of a page with so much text."""
+    label = node["t"]
+    return _is_none(label) and (2 * node["raw"] <= whole or bool(_hints(label) & DISCUSSION))
 
 
-def _size(node: dict) -> int:
+def _size(node: dict, whole: int) -> int:
     """Text outside links that could be the article's."""
     if node["t"] == "#":
-        return max(0, node["chars"] - 2 * node["link"])
-    return 0 if _is_none(node["t"]) else sum(map(_size, node["c"]))
+        return node["raw"]
+    return 0 if _dropped(node, whole) else sum(_size(c, whole) for c in node["c"])
 
 
-def article_path(wrapper: dict) -> tuple[str, ...]:
-    """Labels from the root to the element that holds the article."""
-    named: list[tuple[int, int, tuple[str, ...]]] = []
+Rule = tuple[tuple[str, ...], frozenset[tuple[str, ...]]]
 
-    def look(node, path):
-        if _is_none(node["t"]):
-            return
-        tag, *names = node["t"].split(".")
-        rank = 2 if tag == "article" else 1 if tag == "main" or any(re.sub(r"[-_]", "", n) in ARTICLE_HINTS for n in names) else 0
-        if rank and _size(node):
-            named.append((rank, _size(node), path))
-        for child in node["c"]:
-            look(child, (*path, child["t"]))
 
-    look(wrapper, ())
-    if named:
-        return max(named, key=lambda x: (x[0], x[1], [-len(x[2])]))[2]
+def article_rule(wrapper: dict) -> Rule:
+    """Labels from the root to the element that holds the article, and the paths of elements that are kept whatever their names."""
+    whole = _weigh(wrapper)
+    named: list[tuple[int, int, tuple[str, ...]]] = []
+    hidden: list[tuple[int, int, tuple[str, ...]]] = []  # article and main elements in what is dropped by its class
+    kept: set[tuple[str, ...]] = set()
+
+    def look(node, path, inside):
+        label = node["t"]
+        if _dropped(node, whole):
+            if label.partition(".")[0] in NEVER or _hints(label) & DISCUSSION:
+                return
+            inside = True
+        elif _is_none(label):
+            kept.add(path)
+        rank = _rank(label)
+        if rank and not (inside and (label.partition(".")[0] not in ARTICLE or _is_none(label))) and (size := _size(node, whole)):
+            (hidden if inside else named).append((rank, size, path))
+        for child in node["c"]:
+            look(child, path if child["t"] == "()" else (*path, child["t"]), inside)
+
+    look(wrapper, (), False)
+    best = lambda some: max(some, key=lambda x: (x[0], x[1], [-len(x[2])]))
+    found = best(named) if named else None
+    if hidden and best(hidden)[1] > (found[1] if found else _size(wrapper, whole)):
+        found = best(hidden)
+    if found:
+        return found[2], frozenset(kept)
     node, path = wrapper, ()
     while node["c"]:  # down to the element that holds nearly all of the text
-        child = max(node["c"], key=_size)
-        if child["t"] == "#" or _size(child) < 0.8 * max(1, _size(node)) or child["rep"]:
+        child = max(node["c"], key=lambda c: _size(c, whole))
+        if child["t"] == "#" or _size(child, whole) < 0.8 * max(1, _size(node, whole)) or child["rep"]:
             break
         node, path = child, (*path, child["t"])
-    return path
+    return path, frozenset(kept)
 
 
-def extract(page: str, path: tuple[str, ...]) -> str:
-    """The page's text along the path of its wrapper, a line for each block."""
+def extract(page: str, rule: Rule) -> str:
+    """The page's text along the rule of its host, a line for each block."""
+    root = tree(page)
+    lines = _read(root, rule)
+    if not lines and rule[0]:  # the page has no such element: it is read by its own wrapper
+        lines = _read(root, article_rule(wrap(root)))
+    return "\n".join(lines)
+
+
+def _read(root: dict, rule: Rule) -> list[str]:
+    path, kept = rule
     lines: list[str] = []
 
-    def read(node):
+    def read(node, at):
         for child in node["c"]:
             if child["t"] == "#":
                 line = " ".join("".join(child["text"]).split())
                 if line:
                     lines.append(line)
-            elif not _is_none(child["t"]):
-                read(child)
+            elif not _is_none(child["t"]) or (*at, child["t"]) in kept:
+                read(child, (*at, child["t"]))
 
-    def descend(node, rest):
-        if not rest:
-            read(node)
+    def descend(node, depth):
+        if depth == len(path):
+            read(node, path)
             return
-        label, *after = rest
         for child in node["c"]:
-            if child["t"] == label:
-                descend(child, after)
+            if child["t"] == path[depth]:
+                descend(child, depth + 1)
 
-    root = tree(page)
-    flat = tuple(label for label in path if label != "()")
-    descend(root, flat)
-    if not lines and flat:  # the page has no such element: its whole body but what is never an article
-        read(root)
-    return "\n".join(lines)
+    descend(root, 0)
+    return lines
 
 
 def _host() -> Column:
@@ -291,14 +346,14 @@ def main_text(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
     """page_id, url, text of every page."""
 
     def texts(batches):
-        paths: dict[str, tuple[str, ...]] = {}
+        rules: dict[str, Rule] = {}
         for batch in batches:
             for some in pieces(batch, "html"):
                 out = []
                 for page, host, wrapper in zip(some.column("html"), some.column("host").to_pylist(), some.column("wrapper")):
-                    if host not in paths:
-                        paths[host] = article_path(json.loads(wrapper.as_py())) if wrapper.is_valid else ()
-                    out.append(extract(page.as_py() or "", paths[host]))
+                    if host not in rules:
+                        rules[host] = article_rule(json.loads(wrapper.as_py())) if wrapper.is_valid else ((), frozenset())
+                    out.append(extract(page.as_py() or "", rules[host]))
                 yield pa.record_batch([some.column("page_id"), some.column("url"), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", _host().alias("host"))

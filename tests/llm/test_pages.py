@@ -54,3 +54,33 @@ def test_repeats_and_options_are_inferred():
     assert wrappers.expression(wrappers.align(one, two)) == "<ul>(<li>#</>)+</>(<h2>#</>)?(<p>#</>)+"
     dl = wrappers.wrap(wrappers.tree("<dl><dt>a</dt><dd>b</dd><dt>c</dt><dd>d</dd></dl>"))
     assert wrappers.expression(dl) == "<dl>(<dt>#</><dd>#</>)+</>"
+
+
+DEEP = 90
+WHOLE = {
+    "no-sidebar": "<body class='no-sidebar'><div class=nav>Menu</div><article><p>{}</p></article></body>",
+    "comments-open": "<body class='single comments-open'><div><p>{}</p></div><div class=sidebar>Side</div></body>",
+    "with-sidebar": "<body><div class='content with-sidebar'><p>{}</p><div class=ad>Buy</div></div></body>",
+    "post-header": "<body><article><div class='post-header'><p>{}</p></div><div class=share>Share</div></article></body>",
+    "sidebar": "<body><div class='sidebar layout'><article><p>{}</p></article><nav>Menu</nav></div></body>",
+    "form": "<body><form><div><p>{}</p></div><div class=ad>Buy</div></form></body>",
+    "deep": "<body><div class=content>" + "<div>" * DEEP + "<nav>x</nav>" + "</div>" * DEEP + "<p>{}</p></div><div class=ad>Buy</div></body>",
+}
+
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_names_of_ancestors_and_depth_lose_no_article(spark, name):
+    text = "The whole text of an article that must not be lost, number"
+    pages = spark.createDataFrame([(k, f"http://{name}.example/{k}", "<html>" + WHOLE[name].replace("{}", f"{text} {k}")) for k in range(3)], "page_id long, url string, html string")
+    got = wrappers.main_text(pages, wrappers.infer(pages)).orderBy("page_id").collect()
+    assert [r.text for r in got] == [f"{text} {k}" for k in range(3)]
+
+
+def test_text_behind_deep_elements_stays_in_order():
+    page = "<body><div class=content>a" + "<div>" * DEEP + "b<div>c</div>d<div class=ad>no<p>no</div>e" + "</div>" * DEEP + "f</div>g"
+    assert wrappers.extract(page, wrappers.article_rule(wrappers.wrap(wrappers.tree(page)))).split() == list("abcdef")
+
+
+def test_comments_stay_out_however_long():
+    page = "<div class=content><p>Short.</p><section class=comments><article class=comment>" + "long " * 50 + "</article></section></div>"
+    assert wrappers.extract(page, wrappers.article_rule(wrappers.wrap(wrappers.tree(page)))) == "Short."
