@@ -1,7 +1,10 @@
 """Katz backoff language model: trained on some documents of a table, and scoring all of them.
 
 P(w | h) = d * c(h, w) / c(h) for n-grams seen in training, else a(h) * P(w | h without its first word).
-d is the Good-Turing discount for counts up to K, and for larger counts the amount taken from K; a(h) is what
+d is the Good-Turing discount for counts up to K, and for larger counts the amount taken from K. Where one of an order's
+discounts is outside (0, 1), as groups of copies make n_r uneven, all of them are taken from counts of counts smoothed by
+n_r = A * r^b, fitted over r up to FIT (simple Good-Turing). Only an order with fewer than LEAST_SEEN n-grams of one
+of the counts up to K + 1, or with b >= -1, is too small for either and takes off 0.5 from each count. a(h) is what
 the discounts leave divided by 1 - sum of P(w | shorter h) over the words seen behind h, so all words
 sum to one. Single words back off to one unknown word, which gets what their discounts leave.
 
@@ -34,6 +37,8 @@ from taxweave.llm.common import settle
 
 ORDER = 2
 K = 5  # counts up to K get Good-Turing discounts
+FIT = 40  # counts of counts that smoothing looks at
+LEAST_SEEN = 100  # n-grams of a count, for smoothing: an error of 10 % in n_r
 BLOCK_BYTES = 8 << 20
 START, END = np.uint64(0x1D8E4E27C47D124F), np.uint64(0xEB44ACCAB455D165)
 COUNTS = "order int, bucket int, block long, payload binary"
@@ -81,14 +86,23 @@ def read(column: pa.Array, order: int) -> Tokens:
 
 
 def _discounts(types: list[int]) -> list[float]:
-    """d for counts 0 to K, from (types, tokens, types of count 1, ..., K + 1)."""
-    n = [0, *types[2:]]
-    if n[1]:
+    """d for counts 0 to K, from (types, tokens, types of count 1, ..., FIT)."""
+    n = np.array([0, *types[2:]], float)
+    r = np.arange(1, K + 1)
+    seen = n[1 : K + 2].min()
+    if seen > 0:
         common = (K + 1) * n[K + 1] / n[1]
-        found = [0.0] + [((r + 1) * n[r + 1] / (r * n[r]) - common) / (1 - common) if n[r] and common != 1 else 0.0 for r in range(1, K + 1)]
-        if all(0 < d < 1 for d in found[1:]):
-            return found
-    return [0.0] + [1 - 0.5 / r for r in range(1, K + 1)]  # too few n-grams for Good-Turing
+        if common != 1:
+            found = ((r + 1) * n[r + 1] / (r * n[r]) - common) / (1 - common)
+            if ((0 < found) & (found < 1)).all():
+                return [0.0, *found.tolist()]
+    if seen >= LEAST_SEEN:
+        counts = np.flatnonzero(n)
+        slope = np.polyfit(np.log(counts), np.log(n[counts]), 1, w=np.sqrt(n[counts]))[0]
+        if slope < -1:  # then each r* / r = (1 + 1 / r)^(slope + 1) lies between common and 1
+            common = (K + 1.0) ** (slope + 1)
+            return [0.0, *(((1 + 1 / r) ** (slope + 1) - common) / (1 - common)).tolist()]
+    return [0.0, *(1 - 0.5 / r).tolist()]  # too few n-grams for Good-Turing
 
 
 class Model(NamedTuple):
@@ -106,9 +120,9 @@ class Model(NamedTuple):
 
 
 def _model(answers: DataFrame, order: int, documents: int) -> Model:
-    sums = [F.sum(F.get("types", F.lit(k))).alias(f"t{k}") for k in range(K + 3)]
+    sums = [F.sum(F.get("types", F.lit(k))).alias(f"t{k}") for k in range(FIT + 2)]
     rows = {r.order: list(r)[1:] for r in answers.filter("types is not null").groupBy("order").agg(*sums).collect()}  # a row each order
-    types = [[int(x or 0) for x in rows.get(n, [0] * (K + 3))] for n in range(1, order + 1)]
+    types = [[int(x or 0) for x in rows.get(n, [0] * (FIT + 2))] for n in range(1, order + 1)]
     discounts = [_discounts(t) for t in types]
     kinds, tokens, *of = types[0]
     d = discounts[0]
@@ -153,7 +167,7 @@ def _answer(key, table):
     owner[seen[first]] = 1
     answers = np.split(2 * total[at] + owner, np.cumsum([len(k) for k, _ in parts])[:-1])
     blocks = table.column("block").to_numpy()[order].tolist()
-    types = [int((total > 0).sum()), int(total.sum()), *np.bincount(np.minimum(total, K + 2), minlength=K + 3)[1 : K + 2].tolist()]
+    types = [int((total > 0).sum()), int(total.sum()), *np.bincount(np.minimum(total, FIT + 1), minlength=FIT + 2)[1 : FIT + 1].tolist()]
     n, bucket = key[0].as_py(), key[1].as_py()
     size = len(blocks) + 1
     columns = [

@@ -32,6 +32,22 @@ def test_katz(odd, plain, order):
         assert a[5:] == pytest.approx(b[5:], rel=1e-9, abs=1e-9)
 
 
+def test_good_turing_stays_on_with_uneven_counts(spark):
+    of = [206_000, 60_000, 25_000, 14_300, 13_500, 7_100, *[int(100_000 * r**-1.9) for r in range(7, model.FIT + 1)]]  # like sf0.1: d of 4 is over 1
+    found = model._discounts([370_000, 3_400_000, *of])
+    assert found[0] == 0 and all(0 < a < b < 1 for a, b in zip(found[1:], found[2:]))
+    assert all(abs(d - (1 - 0.5 / r)) > 0.01 for r, d in enumerate(found[1:3], 1))
+    number = {1: 3000, 2: 700, 3: 300, 4: 180, 5: 250, 6: 110}
+    words = {c: [f"w{c}x{k}" for k in range(n)] for c, n in number.items()}
+    trained = " ".join(w for c, ws in words.items() for w in ws for _ in range(c))
+    docs = spark.createDataFrame([(0, trained), (9, ""), (10, "never")] + [(c, ws[0]) for c, ws in words.items()], "doc_id long, text string")
+    got = {r.doc_id: r for r in model.score(docs, F.col("doc_id") == 0, 1).collect()}
+    chance = {c: 10 ** (got[c].score - got[9].score) for c in [*number, 10]}
+    discounts = {c: chance[c] * got[0].train_tokens / c for c in range(1, model.K + 1)}
+    assert all(0 < discounts[c] < discounts[c + 1] < 1 for c in range(1, model.K)) and discounts[1] != pytest.approx(0.5, abs=0.01)
+    assert sum(chance[c] * n for c, n in number.items()) + 10 ** got[9].score + chance[10] == pytest.approx(1)
+
+
 def test_katz_without_rows_or_training(empty, odd):
     assert model.score(empty, F.lit(True)).collect() == []
     row = model.score(odd.filter("text = 'one'").limit(1), F.lit(False)).first()
