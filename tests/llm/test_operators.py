@@ -101,6 +101,31 @@ def _root(up, x):
     yield x
 
 
+def test_regions_of_many_unlinked_documents_end():
+    pick = np.random.default_rng(5)
+    template = pick.integers(0, 1 << 60, 17, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([template, pick.integers(0, 1 << 60, 3, dtype=np.uint64)])) for _ in range(20_000)]  # J = 17 / 23
+    near = [np.unique(np.concatenate([s[1:], pick.integers(0, 1 << 60, 1, dtype=np.uint64)])) for s in sets[:40]]  # J = 19 / 21
+    links = jaccard.join_region(sets + near)
+    assert sorted((min(x), max(x)) for x in links) == [(k, 20_000 + k) for k in range(40)]
+
+
+def test_prefixes_lose_no_link():
+    pick = np.random.default_rng(9)
+    template = pick.integers(0, 1 << 60, 30, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([template[: pick.integers(20, 31)], pick.integers(0, 12, pick.integers(1, 8)).astype(np.uint64)])) for _ in range(400)]
+    sets += [np.unique(pick.integers(0, 40, pick.integers(6, 30)).astype(np.uint64)) for _ in range(200)]
+
+    def parts(links):
+        found = jaccard._Parts(len(sets))
+        for a, b in links:
+            found.join(a, b)
+        return [found.find(k) for k in range(len(sets))]
+
+    every = [(a, b) for a in range(len(sets)) for b in range(a) if jaccard.linked(jaccard.common(sets[a], sets[b]), len(sets[a]), len(sets[b]))]
+    assert parts(jaccard.join_region(sets)) == parts(every)
+
+
 def test_components(spark):
     links = [(k + 1, k) for k in range(40)] + [(100 + k, 99) for k in range(1, 30)] + [(7, 7)]
     found = {r.id: r.component for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
