@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxweave.llm import jaccard, katz, outliers, packing, passages, pii, tiling, token_files, toxicity, wrappers
-from taxweave.llm.common import in_class, tables
+from taxweave.llm import bpe, divergence, jaccard, katz, lockstep, outliers, packing, passages, pii, tiling, token_files, toxicity, wrappers
+from taxweave.llm.common import LOWER, UPPER, in_class, tables
 from taxweave.session import fresh_folder
 
 
@@ -84,6 +84,58 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def _ids_only(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded over tries of words and decoded again."""
+    both = bpe.round_trip(_ids_only(tables(spark, sf_dir, "documents")), _tokenizer("byte_bpe_50k.json"), ["doc_id"])
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    digests = F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    return both.select("row.doc_id", F.size("ids").cast("long").alias("n_tokens"), *digests)
+
+
+def op12_lockstep_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens by two tokenizers, aligned, with how many documents hold its links."""
+    a, b = _tokenizer("byte_bpe_50k.json"), _tokenizer("piece_bpe_32k.model")
+    aligned = lockstep.align(_ids_only(tables(spark, sf_dir, "documents")), a, b, ["doc_id"], links=False)
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    counted = lockstep.with_support(aligned.withColumn("groups_sha256", digest).drop("groups"))
+    return counted.select("row.doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every source the other sources of its language by distance, and the terms it uses more than the language."""
+    return divergence.audit(tables(spark, sf_dir, "documents"))
+
+
+_DIVERGENCE = rf"""WITH d AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS found FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+t AS (SELECT doc, lang, source, unnest(found) AS term FROM d),
+kept AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT doc) >= 30),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+cell AS (
+  SELECT g.lang, g.source, kept.term, v, coalesce(n, 0) AS n FROM g JOIN kept USING (lang) JOIN v USING (lang)
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+p AS (
+  SELECT *, CAST(1 + 1000000000 * (CAST(n AS HUGEINT) + 5) // (sum(n) OVER (PARTITION BY lang, source) + 5 * v) AS BIGINT) AS p,
+    CAST(1 + 1000000000 * (sum(n) OVER (PARTITION BY lang, term) + 5) // (sum(n) OVER (PARTITION BY lang) + 5 * v) AS BIGINT) AS q FROM cell),
+apart AS (
+  SELECT a.lang, a.source, b.source AS item, CAST(sum(abs(a.p - b.p)) AS BIGINT) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN apart ON apart.lang = a.lang AND apart.source = a.source AND apart.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q)
+SELECT * FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM found)
+WHERE part = 'pair' OR rank <= 50"""
+
 QUERIES = {
     "op1_katz_backoff": (op1_katz_backoff, None),
     "op2_jaccard_join": (op2_jaccard_join, None),
@@ -95,4 +147,7 @@ QUERIES = {
     "op8_robust_outliers": (op8_robust_outliers, None),
     "op9_best_fit_packing": (op9_best_fit_packing, None),
     "op10_token_files": (op10_token_files, None),
+    "op11_prefix_trie": (op11_prefix_trie, None),
+    "op12_lockstep_alignment": (op12_lockstep_alignment, None),
+    "op13_source_divergence": (op13_source_divergence, _DIVERGENCE),
 }

@@ -16,7 +16,7 @@ SF_DIR = "/root/testdata/sf0.001"
 def test_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_duplicates", "decontamination", "personal_data", "best_fit_packing"]
     assert {"pipeline", *queries.QUERIES} <= contract.queries().keys()
-    assert {int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES} == set(range(1, 11))
+    assert {int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES} == set(range(1, 14))
 
 
 def test_stages(spark, tmp_path):
