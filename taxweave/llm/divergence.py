@@ -143,7 +143,7 @@ def _tile(key: tuple, strips: pa.Table) -> pa.Table:
 def source_gaps(known: Counts) -> DataFrame:
     """lang, source, item, value, rank: every other source of the language and how far it is."""
     groups = known.groups.select("lang", "source", "number", "v", "base")
-    last = F.floor(F.greatest(F.col("v") - 1, F.lit(0)) / TILE_TERMS).cast("int")
+    last = F.floor(F.col("v") / TILE_TERMS).cast("int")  # places go up to v, as EVERYWHERE has one
     every = groups.select("lang", "number", "base", F.explode(F.sequence(F.lit(0), last)).alias("strip"))
     strip = F.floor(F.col("at") / TILE_TERMS).cast("int")
     entries = F.array_sort(F.collect_list(F.struct("at", "p"))).alias("entries")  # at most TILE_TERMS
