@@ -7,6 +7,8 @@ An order line has the columns
     item_c, disc_c, ship_c         satang
     line_ord                       any orderable value; the upload's row order
     copies                         how many equal rows the upload held (after dedup_lines)
+    print_a, print_b               128 bits that stand for all columns of the export's row
+    extra                          the row only adds copies of one that was landed before
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from taxweave.rules import RULES
 
 SOURCE = ["taxpayer_id", "store", "platform"]
 ROW_ORDER = "line_ord"
+PRINTS = ["print_a", "print_b"]
 
 
 def per_platform(value, otherwise: Column | None = None) -> Column:
@@ -48,7 +51,7 @@ def normalise_order_lines(raw: DataFrame, platform: str) -> DataFrame:
         return F.col(f"`{column}`")
 
     day = calendar.parse_day(F.trim(F.replace(text("ordered_at"), F.lit("\t"), F.lit(""))), rule.time_format)
-    kept = [c for c in (ROW_ORDER, "copies") if c in raw.columns]
+    kept = [c for c in (ROW_ORDER, "copies", *PRINTS) if c in raw.columns]
     return raw.select(
         "taxpayer_id",
         "store",
@@ -98,20 +101,30 @@ def exclude_open_month(lines: DataFrame, as_of: dt.date) -> DataFrame:
     return lines.filter((F.col("year") != as_of.year) | (F.col("order_date") <= F.lit(last)))
 
 
+def with_prints(rows: DataFrame, columns: list[str], platform: str = "") -> DataFrame:
+    """Adds a fingerprint of the named columns, by which equal rows of different uploads are found.
+
+    Two 64-bit hashes of the cells that aren't NULL, each with its column's name: an absent column and
+    one of NULLs are the same, and cells don't take each other's place.
+    """
+    cell = lambda c: F.concat(F.lit(f"{c}\0"), F.col(f"`{c}`").cast("string"))
+    cells = F.array_compact(F.array(F.lit(platform), *[cell(c) for c in sorted(columns)]))
+    return rows.withColumns({"print_a": F.xxhash64(cells), "print_b": F.xxhash64(F.lit("second"), cells)})
+
+
 def dedup_lines(lines: DataFrame) -> DataFrame:
     """One row per set of rows equal in all columns but the row order.
 
     NULL equals NULL. The first row's order is kept and `copies` says how many
     rows there were, so a job that must count the copies can still do so. The
     aggregate combines copies before the shuffle: a single row repeated over a
-    third of the data leaves each map task as one row.
+    third of the data leaves each map task as one row. Copies counted already are added up.
     """
     # Year and month follow from the day; they need not be compared or shuffled.
     derived = ["year", "month"] if "order_date" in lines.columns else []
-    keys = [c for c in lines.columns if c not in (ROW_ORDER, *derived)]
-    unique = lines.groupBy(*[F.col(f"`{c}`") for c in keys]).agg(
-        F.min(ROW_ORDER).alias(ROW_ORDER), F.count(F.lit(1)).alias("copies")
-    )
+    keys = [c for c in lines.columns if c not in (ROW_ORDER, "copies", "extra", *derived)]
+    counted = F.sum("copies") if "copies" in lines.columns else F.count(F.lit(1))
+    unique = lines.groupBy(*[F.col(f"`{c}`") for c in keys]).agg(F.min(ROW_ORDER).alias(ROW_ORDER), counted.alias("copies"))
     if derived:
         unique = unique.withColumns({"year": F.year("order_date"), "month": F.month("order_date")})
     return unique
@@ -132,9 +145,16 @@ def without_copies(lines: DataFrame) -> DataFrame:
     return lines if "copies" in lines.columns else dedup_lines(lines)
 
 
+def first_copies(lines: DataFrame) -> DataFrame:
+    """Each line once, for jobs that never count copies."""
+    unique = without_copies(lines)
+    return unique.filter(~F.col("extra")) if "extra" in unique.columns else unique
+
+
 def daily_weight(lines: DataFrame) -> Column:
     """Times a line counts in the daily job: copies count where the platform's
     export is not freed of duplicates there."""
     if "copies" not in lines.columns:
         return F.lit(1)
-    return per_platform(lambda rule: F.lit(1).cast("long") if rule.dedup_daily else F.col("copies"))
+    once = F.when(F.col("extra"), 0).otherwise(1) if "extra" in lines.columns else F.lit(1)
+    return per_platform(lambda rule: once.cast("long") if rule.dedup_daily else F.col("copies"))

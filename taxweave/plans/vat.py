@@ -24,7 +24,7 @@ def sales_from_lines(order_lines: DataFrame, year: int | None = None, month: int
     kept = lines.drop_cancelled(order_lines)
     if year is not None:
         kept = lines.filter_period(kept, year, month)
-    return ledger.sales_ledger(ledger.order_totals(lines.without_copies(kept)))
+    return ledger.sales_ledger(ledger.order_totals(lines.first_copies(kept)))
 
 
 def vat_months(

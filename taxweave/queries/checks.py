@@ -90,7 +90,48 @@ def land_second_upload(spark, sf_dir):
     again = rows.filter(F.pmod(F.col("order_no").cast("long"), F.lit(3)) == 0).withColumn("order_no", F.concat(F.lit("x"), "order_no"))
     for _ in range(2):
         landing.write_order_lines(lines.dedup_lines(again), path, "second")
-    return landing.read_order_lines(spark, path).drop("line_ord")
+    return landing.read_order_lines(spark, path).drop("line_ord", "extra")
+
+
+def land_same_upload_twice(spark, sf_dir):
+    """All lines landed as one upload, again under its own name and again under another: the
+    verdict is the one of a single upload."""
+    rows = lines.dedup_lines(fx.canonical_lines(spark, sf_dir))
+    path = fresh_folder(spark, "lines")
+    for batch in (None, None, "once more"):
+        landing.write_order_lines(rows, path, batch)
+    return plans_threshold.status_from_lines(landing.read_order_lines(spark, path))
+
+
+def _overlapping(spark, sf_dir):
+    """Three uploads that share lines: orders up to 1998, orders from 1997 on, and every third order with its lines twice."""
+    rows = fx.canonical_lines(spark, sf_dir)
+    path = fresh_folder(spark, "lines")
+    twice = rows.filter(F.pmod(F.col("order_no").cast("long"), F.lit(3)) == 0)
+    for batch, part in (("early", rows.filter("year <= 1998")), ("late", rows.filter("year >= 1997")), ("twice", twice.union(twice))):
+        landing.write_order_lines(lines.dedup_lines(part), path, batch)
+    return path
+
+
+def land_overlapping_uploads(spark, sf_dir):
+    """Every line as often as in the upload that has it most often."""
+    landed = landing.read_order_lines(spark, _overlapping(spark, sf_dir))
+    keys = [c for c in landed.columns if c not in ("line_ord", "copies", "extra")]
+    return landed.groupBy(*keys).agg(F.sum("copies").alias("copies"))
+
+
+def replace_overlapping_upload(spark, sf_dir):
+    """One of the uploads replaced by one without lines of 1997: those come back as the other upload has them."""
+    path = _overlapping(spark, sf_dir)
+    landing.write_order_lines(lines.dedup_lines(fx.canonical_lines(spark, sf_dir).filter("year < 1997")), path, "early")
+    landed = landing.read_order_lines(spark, path)
+    keys = [c for c in landed.columns if c not in ("line_ord", "copies", "extra")]
+    return landed.groupBy(*keys).agg(F.sum("copies").alias("copies"))
+
+
+def vat_of_overlapping_uploads(spark, sf_dir):
+    """The sales ledger counts a line once, however many uploads and copies have it."""
+    return plans_vat.sales_from_lines(landing.read_order_lines(spark, _overlapping(spark, sf_dir)))
 
 
 def threshold_from_exports(spark, sf_dir):
@@ -166,6 +207,11 @@ def store_name_findings(spark, sf_dir):
     return inputs.store_name_findings(fx.entered_stores(spark, sf_dir))
 
 
+_UPLOADED = sql(
+    f"""SELECT {threshold.LINE}, n * CASE WHEN CAST(order_no AS BIGINT) % 3 = 0 THEN 2 ELSE 1 END AS copies
+FROM (SELECT {threshold.LINE}, count(*) AS n FROM lines GROUP BY ALL)""",
+    "lines",
+)
 _DISCOUNT = "CASE WHEN platform = 'Lazada' THEN NULL ELSE disc_c END AS disc_c"
 _SHIPPING = "CASE WHEN platform = 'Lazada' THEN NULL ELSE ship_c END AS ship_c"
 _EXPORTED = f"{SOURCE}, order_no, status, order_date, customer_name, item_c, {_DISCOUNT}, {_SHIPPING}"
@@ -222,6 +268,10 @@ WHERE CAST(order_no AS BIGINT) % 3 = 0 GROUP BY ALL""",
             "lines",
         ),
     ),
+    "land_same_upload_twice": (land_same_upload_twice, threshold.QUERIES["threshold_status"][1]),
+    "land_overlapping_uploads": (land_overlapping_uploads, _UPLOADED),
+    "replace_overlapping_upload": (replace_overlapping_upload, _UPLOADED),
+    "vat_of_overlapping_uploads": (vat_of_overlapping_uploads, vat.QUERIES["sales_ledger"][1]),
     "threshold_from_exports": (threshold_from_exports, threshold.QUERIES["threshold_status"][1]),
     "vat_return_from_exports": (vat_return_from_exports, vat.QUERIES["vat_return"][1]),
     "scan_input_manifest": (

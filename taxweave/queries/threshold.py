@@ -89,8 +89,9 @@ def running_total(spark, sf_dir):
 
 def write_daily_sales(spark, sf_dir):
     path = fresh_folder(spark, "daily")
-    reports.write_daily_sales(daily_report(spark, sf_dir), path)
-    return spark.read.parquet(path)
+    report = daily_report(spark, sf_dir)
+    reports.write_daily_sales(report, path)
+    return reports.read_written(spark, path, report.schema)
 
 
 def run_audit_threshold(spark, sf_dir):

@@ -12,6 +12,7 @@ from taxweave.plans import vat
 from taxweave.queries.sql import SOURCE, sql
 from taxweave.session import fresh_folder, settle
 from taxweave.sinks import reports
+from taxweave.sinks.versions import Versions
 from taxweave.sources.documents import first_pages, scan_invoice_docs
 
 LEDGER = f"{SOURCE}, year, month, type, order_date, status, order_no, customer_name, before_vat_c, vat_c, include_vat_c"
@@ -77,19 +78,24 @@ def _filed(spark, sf_dir):
     return path, vat.file_returns(months, path)
 
 
+def _live(spark, path):
+    table = Versions(spark, path)
+    return table.read(table.state(), None).drop("range")
+
+
 def write_sales_ledger(spark, sf_dir):
     path, _ = _filed(spark, sf_dir)
-    return spark.read.parquet(f"{path}/sales")
+    return _live(spark, f"{path}/sales")
 
 
 def write_purchase_ledger(spark, sf_dir):
     path, _ = _filed(spark, sf_dir)
-    return spark.read.parquet(f"{path}/purchases")
+    return _live(spark, f"{path}/purchases")
 
 
 def write_receipts(spark, sf_dir):
     path, _ = _filed(spark, sf_dir)
-    return spark.read.parquet(f"{path}/receipts")
+    return _live(spark, f"{path}/receipts")
 
 
 def refile_some_taxpayers(spark, sf_dir):
@@ -102,7 +108,7 @@ def refile_some_taxpayers(spark, sf_dir):
     no_fees = _docs(spark, sf_dir).filter("false")
     months = vat.vat_months(mine.filter("month <= 6"), no_fees)
     vat.file_returns(months, path, mine.select("taxpayer_id", "year", "month").distinct())
-    return spark.read.parquet(f"{path}/sales")
+    return _live(spark, f"{path}/sales")
 
 
 def filed_returns(spark, sf_dir):

@@ -1,83 +1,102 @@
 """Written results: daily sales, tax ledgers, receipts, run audit.
 
-Folders are years or months only. A folder per taxpayer would make as many
-small files as there are taxpayers; instead rows are range-partitioned and
+Folders are years or months and, below them, a fixed number of taxpayer ranges. A folder per
+taxpayer would make as many small files as there are taxpayers; instead rows are range-partitioned and
 sorted by taxpayer, so Parquet statistics skip to one taxpayer's rows, and a
-taxpayer with very many rows is spread over several files.
+taxpayer with very many rows is spread over several files. Which files are live is
+named by a manifest (`versions`), so a filing replaces its taxpayers' ranges at once.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from taxweave.operators.lines import SOURCE
-from taxweave.session import exists, remove, settling
+from taxweave.session import settling
+from taxweave.sinks.versions import Conflict, Versions
+
+#: Taxpayer ranges of a folder, unless the table's first writer says otherwise.
+RANGES = 8
 
 
 def read_written(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet") -> DataFrame:
-    """What was written below path; no rows if nothing was yet."""
-    if not exists(spark, path):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).format(fmt).option("header", "true").load(path)
+    """The live rows of what was written below path; no rows if nothing was yet."""
+    table = Versions(spark, path)
+    rows = table.read(table.state(), schema, fmt=fmt)
+    return spark.createDataFrame([], schema) if rows is None else rows
+
+
+def _unit(folders: list[str], row: Row) -> str:
+    return "/".join(f"{c}={row[c]}" for c in [*folders, "range"])
 
 
 def _write_sorted(
-    df: DataFrame, path: str, folders: list[str], order: list[str], fmt: str, run: DataFrame | None = None
+    df: DataFrame, path: str, folders: list[str], order: list[str], fmt: str, run: DataFrame | None = None, ranges: int = RANGES, tries: int = 5
 ) -> None:
     """Replace the rows of the run's taxpayers in the run's folders; all other rows stay.
 
     `run` has the run's taxpayers and folders, also those without rows now, whose
     earlier rows go. Without it they are those of the rows themselves.
+
+    A folder's taxpayers are dealt into ranges by a hash; the table's first writer fixes how many. Only
+    the ranges of the run's taxpayers are read and written, and one commit makes them live.
     """
-    spark = df.sparkSession
+    spark, table = df.sparkSession, Versions(df.sparkSession, path)
+    unit = ["taxpayer_id", *folders]
     with settling(spark) as keep:
         new = keep(df, "report")
-        unit = ["taxpayer_id", *folders]
         touched = keep((new if run is None else new.select(*unit).union(run.select(*unit))).select(*unit).distinct(), "touched")
-        old = read_written(spark, path, df.schema, fmt).select(*df.columns)
-        same = [F.col(f"old.{c}").eqNullSafe(F.col(f"run.{c}")) for c in unit]
-        near = old.alias("old").join(touched.alias("run"), same[1:], "left_semi")
-        others = keep(near.alias("old").join(touched.alias("run"), same, "left_anti"), "others")
-        (
-            others.unionByName(new)
-            .repartitionByRange(*folders, *order)
-            .sortWithinPartitions(*folders, *order)
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .option("header", "true")
-            .partitionBy(*folders)
-            .format(fmt)
-            .save(path)
-        )
-        # A folder without any row left is not written, so its old files go here.
-        left = others.select(*folders).union(new.select(*folders)).distinct()
-        empty = touched.select(*folders).distinct().join(left, folders, "left_anti")
-        for row in empty.toLocalIterator():  # one row for each year or month
-            remove(spark, path + "".join(f"/{c}={row[c]}" for c in folders))
-
-
-def write_daily_sales(report: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """The daily report with sum and running total, one folder per year. A
+        for attempt in range(tries):
+            seen = table.state()
+            ranges = int(seen.notes.get("ranges", ranges))
+            place = F.pmod(F.xxhash64(F.col("taxpayer_id").cast("string")), F.lit(ranges)).alias("range")
+            # At most one row for each folder and range.
+            units = [_unit(folders, r) for r in touched.select(*folders, place).distinct().collect()]
+            rows = new.select("*", place)
+            old = table.read(seen, df.schema, units, fmt)
+            if old is not None:
+                same = [F.col(f"old.{c}").eqNullSafe(F.col(f"run.{c}")) for c in unit]
+                rows = keep(old.alias("old").join(touched.alias("run"), same, "left_anti").select("*", place).unionByName(rows), "rows")
+            version, target = table.fresh()
+            (
+                rows.repartitionByRange(*folders, "range", *order)
+                .sortWithinPartitions(*folders, "range", *order)
+                .write.option("header", "true")
+                .partitionBy(*folders, "range")
+                .format(fmt)
+                .save(target)
+            )
+            written = {_unit(folders, r) for r in rows.select(*folders, "range").distinct().collect()}
+            try:
+                table.commit(seen, {u: version if u in written else None for u in units}, {"ranges": str(ranges)})
+                return
+            except Conflict:
+                if attempt == tries - 1:
+                    raise
+
+
+def write_daily_sales(report: DataFrame, path: str, fmt: str = "parquet", ranges: int = RANGES) -> None:
+    """The daily report with sum and running total, by year. A
     year of the report's taxpayers is replaced as a whole; other years and taxpayers stay."""
-    _write_sorted(report, path, ["year"], ["taxpayer_id", "date"], fmt)
+    _write_sorted(report, path, ["year"], ["taxpayer_id", "date"], fmt, ranges=ranges)
 
 
 def write_tax_ledgers(
-    sales: DataFrame, purchases: DataFrame, path: str, fmt: str = "parquet", run: DataFrame | None = None
+    sales: DataFrame, purchases: DataFrame, path: str, fmt: str = "parquet", run: DataFrame | None = None, ranges: int = RANGES
 ) -> None:
-    """Output-tax and input-tax reports, one folder per year and month."""
-    _write_sorted(sales, f"{path}/sales", ["year", "month"], [*SOURCE, "order_date", "order_no"], fmt, run)
-    _write_sorted(purchases, f"{path}/purchases", ["year", "month"], [*SOURCE, "doc_date", "doc_num"], fmt, run)
+    """Output-tax and input-tax reports, by year and month."""
+    _write_sorted(sales, f"{path}/sales", ["year", "month"], [*SOURCE, "order_date", "order_no"], fmt, run, ranges)
+    _write_sorted(purchases, f"{path}/purchases", ["year", "month"], [*SOURCE, "doc_date", "doc_num"], fmt, run, ranges)
 
 
-def write_receipts(invoices: DataFrame, path: str, fmt: str = "parquet", run: DataFrame | None = None) -> None:
-    """The receipt manifest, one folder per year and month."""
+def write_receipts(invoices: DataFrame, path: str, fmt: str = "parquet", run: DataFrame | None = None, ranges: int = RANGES) -> None:
+    """The receipt manifest, by year and month."""
     order = ["taxpayer_id", "bundle", "doc_date", "doc_num", "file_name"]
-    _write_sorted(_receipts(invoices), path, ["year", "month"], order, fmt, run)
+    _write_sorted(_receipts(invoices), path, ["year", "month"], order, fmt, run, ranges)
 
 
 BUNDLE = ["taxpayer_id", "year", "month", "bundle"]
