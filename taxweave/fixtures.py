@@ -120,6 +120,20 @@ def input_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("file_name", name)
 
 
+def monthly_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uploads of every source and month of its taxpayer: some Lazada exports were never handed in, some came
+    late, and some months lack TikTok's commission file."""
+    rows = sales_rows(spark, sf_dir).withColumns({"year": F.year("order_date"), "month": F.month("order_date")})
+    sources, periods = rows.select("taxpayer_id", "store", "platform").distinct(), rows.select("taxpayer_id", "year", "month").distinct()
+    kinds = F.explode(F.array(F.lit("sale"), F.lit("commission")))
+    taxpayer, month = F.col("taxpayer_id"), F.col("month")
+    never = (taxpayer % 4 == 1) & (F.col("store") == "store2")
+    late = (taxpayer + F.col("year") + month) % 5 == 0
+    no_sale = (F.col("kind") == "sale") & (F.col("platform") == "Lazada") & (never | late)
+    no_fee = (F.col("kind") == "commission") & (F.col("platform") == "TikTok") & ((taxpayer + month) % 4 == 0)
+    return sources.join(periods, "taxpayer_id").withColumn("kind", kinds).filter(~no_sale & ~no_fee)
+
+
 def entered_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Store names as typed, one row per customer."""
     key, segment = F.col("c_custkey"), F.col("c_mktsegment")
@@ -197,14 +211,23 @@ def write_exports(spark: SparkSession, sf_dir: str, platform: str) -> str:
     return root
 
 
-def write_incomplete_exports(spark: SparkSession, sf_dir: str) -> str:
-    """TikTok exports of which every fourth group lacks a required column."""
+def write_incomplete_exports(spark: SparkSession, sf_dir: str, platform: str, fmt: str) -> str:
+    """Exports of which every fourth group lacks a required column of money."""
     root = fresh_folder(spark, "exports")
-    rows = render_export(order_lines(spark, sf_dir), "TikTok")
-    names = _export_names("TikTok")
+    rows = render_export(order_lines(spark, sf_dir), platform)
+    columns, names = RULES[platform].columns, _export_names(platform)
     short = F.col("taxpayer_group") % 4 == 1
-    _write_export(rows.filter(~short), names, root, "csv")
-    _write_export(rows.filter(short), [n for n in names if n != "SKU Seller Discount"], root, "csv")
+    _write_export(rows.filter(~short), names, f"{root}/platform={platform}", fmt)
+    _write_export(rows.filter(short), [n for n in names if n != columns.get("discount", columns["item"])], f"{root}/platform={platform}", fmt)
+    return root
+
+
+def write_fee_files(spark: SparkSession, sf_dir: str) -> str:
+    """Fee documents landed in folders per platform, store and group of taxpayers."""
+    root = fresh_folder(spark, "fees")
+    pages = invoice_pages(spark, sf_dir).withColumn("taxpayer_group", F.col("taxpayer_id") % TAXPAYER_GROUPS)
+    folders = ["platform", "store", "taxpayer_group"]
+    pages.repartitionByRange(*folders).write.partitionBy(*folders).parquet(f"{root}/kind=commission")
     return root
 
 

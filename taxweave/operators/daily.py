@@ -17,6 +17,9 @@ from taxweave.functions import calendar, money
 from taxweave.operators.lines import SOURCE, daily_weight, per_platform
 from taxweave.rules import AMBER_SATANG, RULES, THRESHOLD_SATANG
 
+#: Stores of a taxpayer that have columns of their own in the numbered report.
+MOST_STORES = 3
+
 
 def order_discount(first: str, total: str) -> Column:
     """The discount of an order: first line's, sum of lines, or none."""
@@ -169,6 +172,29 @@ def daily_matrix(daily: DataFrame, stores: list[str], platforms=tuple(RULES), *m
     return daily.groupBy("taxpayer_id", "date").agg(*sums, *more)
 
 
+def store_numbers(daily: DataFrame) -> DataFrame:
+    """taxpayer_id, store, number: the stores of each taxpayer, counted by name."""
+    by_name = Window.partitionBy("taxpayer_id").orderBy("store")
+    return daily.select("taxpayer_id", "store").distinct().withColumn("number", F.row_number().over(by_name))
+
+
+def numbered(daily: DataFrame, numbers: DataFrame) -> DataFrame:
+    """Daily sales with the number of their store in place of its name."""
+    return daily.join(numbers, ["taxpayer_id", "store"]).drop("store")
+
+
+def numbered_report(of_numbers: DataFrame, most: int = MOST_STORES, as_of: dt.date | None = None) -> DataFrame:
+    """`daily_report` by the number of the store (`numbered`): its width is the same however many taxpayers and names
+    there are. Sum and running total are those of all stores; stores behind the first `most` are in `further_stores`."""
+    first = of_numbers.withColumn("store", F.when(F.col("number") <= most, F.concat(F.lit("store"), F.col("number").cast("string"))))
+    return daily_report(first, [f"store{k + 1}" for k in range(most)], as_of)
+
+
+def further_stores(of_numbers: DataFrame, most: int = MOST_STORES) -> DataFrame:
+    """The daily sales of the stores that have no columns in `numbered_report`, a row for each source and day."""
+    return of_numbers.filter(F.col("number") > most)
+
+
 def daily_report(daily: DataFrame, stores: list[str], as_of: dt.date | None = None) -> DataFrame:
     """The threshold job's report: every day with all measures, their sum and
     the running total. Sum and running total are those of all stores and platforms, also of

@@ -20,6 +20,31 @@ def missing_inputs(selection: DataFrame, manifest: DataFrame, kinds=INPUT_KINDS)
     return wanted.distinct().join(manifest, [*SOURCE, "kind"], "left_anti")
 
 
+def wanted_inputs(selection: DataFrame, periods: DataFrame, kinds=INPUT_KINDS) -> DataFrame:
+    """Every upload that a run needs: of each selected source, each period of its taxpayer and each kind.
+
+    `periods` has taxpayer_id and the columns of a period.
+    """
+    sources = selection.select(*SOURCE).distinct().join(periods.distinct(), "taxpayer_id")
+    return sources.withColumn("kind", F.explode(F.array(*[F.lit(k) for k in kinds])))
+
+
+def completeness(wanted: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Per taxpayer and period: how many uploads are wanted, how many of them are missing, and whether none is."""
+    keys = wanted.columns
+    period = [c for c in keys if c not in (*SOURCE, "kind")]
+    there = manifest.select(*keys).distinct().withColumn("there", F.lit(True))
+    state = wanted.join(there, keys, "left").groupBy("taxpayer_id", *period)
+    counted = state.agg(F.count("*").alias("wanted"), F.count_if(F.col("there").isNull()).alias("missing"))
+    return counted.withColumn("complete", F.col("missing") == 0)
+
+
+def drop_incomplete(rows: DataFrame, state: DataFrame) -> DataFrame:
+    """Rows of taxpayers and periods that `completeness` finds no upload missing for."""
+    keys = [c for c in state.columns if c not in ("wanted", "missing", "complete")]
+    return rows.join(state.filter(~F.col("complete")).select(*keys), keys, "left_anti").select(*rows.columns)
+
+
 def prune_inputs(manifest: DataFrame, selection: DataFrame) -> DataFrame:
     """Drop uploads of platforms or stores that are no longer selected."""
     return manifest.join(selection, SOURCE, "left_semi")

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from taxweave.operators import daily, lines, quality
+from taxweave.operators import daily, inputs, lines, quality
 from taxweave.rules import AMBER_SATANG, THRESHOLD_SATANG
 from taxweave.session import settle
 
@@ -56,6 +56,25 @@ def status_from_daily(sales: DataFrame, threshold: int = THRESHOLD_SATANG, amber
     return daily.threshold_status(daily.running_total(daily.row_total(sales)), threshold, amber)
 
 
+@dataclass(frozen=True)
+class Gated:
+    result: DataFrame  # of taxpayers and periods whose uploads are complete
+    left_out: DataFrame  # the uploads that others lack
+
+
+def gated_status(order_lines: DataFrame, selection: DataFrame, manifest: DataFrame, year: int | None = None, as_of: dt.date | None = None) -> Gated:
+    """The verdict of the taxpayer-years that have a sale export of every selected store and platform.
+
+    `manifest` has the source, kind and year of each upload. The verdicts, a row for each taxpayer and year, are
+    joined with the state, never the lines.
+    """
+    status = settle(status_from_lines(order_lines, year, as_of), "status")
+    wanted = inputs.wanted_inputs(selection, status.select("taxpayer_id", "year"), ("sale",))
+    state = inputs.completeness(wanted, manifest)
+    missing = wanted.join(manifest.select(*wanted.columns).distinct(), wanted.columns, "left_anti")
+    return Gated(inputs.drop_incomplete(status, state), missing)
+
+
 def threshold_check(
     order_lines: DataFrame, stores: list[str], year: int | None = None, as_of: dt.date | None = None
 ) -> ThresholdCheck:

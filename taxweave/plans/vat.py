@@ -70,6 +70,22 @@ def gated(months: VatMonths) -> VatMonths:
     return VatMonths(sales, fees, returns.vat_return(sales, fees))
 
 
+def complete_months(months: VatMonths, selection: DataFrame, manifest: DataFrame) -> tuple[VatMonths, DataFrame]:
+    """The months of taxpayers who have handed in sales and fees of every selected store and platform, and the
+    uploads that the others lack.
+
+    `manifest` has the source, kind, year and month of each upload. The ledgers are written once, as their periods
+    say what is wanted.
+    """
+    period = ["taxpayer_id", "year", "month"]
+    sales, fees = settle(months.sales, "sales"), settle(months.purchases, "purchases")
+    wanted = inputs.wanted_inputs(selection, sales.select(*period).union(fees.select(*period)))
+    state = settle(inputs.completeness(wanted, manifest), "completeness")
+    sales, fees = (inputs.drop_incomplete(side, state) for side in (sales, fees))
+    missing = wanted.join(manifest.select(*wanted.columns).distinct(), wanted.columns, "left_anti")
+    return VatMonths(sales, fees, returns.vat_return(sales, fees)), missing
+
+
 def file_returns(months: VatMonths, path: str, refiled: DataFrame | None = None) -> DataFrame:
     """Write both ledgers and the receipt manifest below `path` and compute the
     returns from what was written, so lines and texts are read once.

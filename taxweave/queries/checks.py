@@ -44,24 +44,20 @@ def normalise_order_lines(spark, sf_dir):
 
 def union_exports(spark, sf_dir):
     """Raw exports with different columns, aligned by name."""
-    both = exports.union_exports([_scan(spark, sf_dir, p) for p in ("Lazada", "TikTok")])
-    return both.select(
-        F.col("taxpayer_id").cast("long").alias("taxpayer_id"),
-        "store",
-        F.col("orderNumber").alias("lazada_order"),
-        F.replace(F.col("Order ID"), F.lit("\t"), F.lit("")).alias("tiktok_order"),
-        "sku",
-    )
+    every = exports.union_exports([_scan(spark, sf_dir, p) for p in RULES])
+    numbers = [F.replace(F.col(f"`{RULES[p].columns['order_no']}`"), F.lit("\t"), F.lit("")).alias(f"{p.lower()}_order") for p in RULES]
+    return every.select(F.col("taxpayer_id").cast("long").alias("taxpayer_id"), "store", *numbers, "sku")
 
 
 def ledger_from_exports(spark, sf_dir):
     """Order totals from the scanned files: copies are dropped on the export's
     own columns and the first line is the file's first."""
-    raw = _scan(spark, sf_dir, "Shopee")
-    unique = lines.dedup_lines(lines.drop_cancelled_export(raw, "Shopee"))
-    orders = ledger.order_totals(lines.normalise_order_lines(unique, "Shopee"))
-    rows = ledger.sales_ledger(orders).withColumn("taxpayer_id", F.col("taxpayer_id").cast("long"))
-    return rows.select("taxpayer_id", "store", "type", "order_date", "status", "order_no", "vat_c", "include_vat_c")
+    parts = []
+    for platform in RULES:
+        unique = lines.dedup_lines(lines.drop_cancelled_export(_scan(spark, sf_dir, platform), platform))
+        parts.append(ledger.sales_ledger(ledger.order_totals(lines.normalise_order_lines(unique, platform))))
+    rows = _long_ids(ledger.union_ledgers(parts))
+    return rows.select("taxpayer_id", "store", "platform", "type", "order_date", "status", "order_no", "vat_c", "include_vat_c")
 
 
 def _landed(spark, sf_dir):
@@ -146,17 +142,37 @@ def vat_return_from_exports(spark, sf_dir):
     return plans_vat.vat_months(_long_ids(_landed(spark, sf_dir)), scan_invoice_docs(spark, pages)).summary
 
 
+PLACE = ("kind", "platform", "store", "taxpayer_group")
+
+
 def scan_input_manifest(spark, sf_dir):
-    root = fx.write_exports(spark, sf_dir, "TikTok")
-    files = manifest.scan_input_manifest(spark, root, "*.csv", ("kind", "platform", "store", "taxpayer_group"))
-    return files.groupBy("kind", "platform", "store", "taxpayer_group").agg((F.min("length") > 0).alias("has_rows"))
+    """Sale exports and fee documents of all platforms, from their listing."""
+    roots = [*(fx.write_exports(spark, sf_dir, p) for p in RULES), fx.write_fee_files(spark, sf_dir)]
+    files = manifest.scan_input_manifest(spark, roots, "*.{csv,parquet}", PLACE)
+    return files.groupBy(*PLACE).agg((F.min("length") > 0).alias("has_rows"))
+
+
+def _incomplete(spark, sf_dir, formats=("csv", "parquet")):
+    return {fmt: {p: fx.write_incomplete_exports(spark, sf_dir, p, fmt) for p in RULES} for fmt in formats}
 
 
 def missing_columns(spark, sf_dir):
-    root = fx.write_incomplete_exports(spark, sf_dir)
-    found = quality.missing_columns(exports.csv_headers(spark, root), RULES["TikTok"].required_columns())
-    place = [F.regexp_extract("file_path", f"/{name}=([^/]*)/", 1).alias(name) for name in ("store", "taxpayer_group")]
-    return found.select(*place, "missing").distinct()
+    """Exports of all platforms, as CSV and as Parquet, that lack a required column."""
+    parts = []
+    for fmt, roots in _incomplete(spark, sf_dir).items():
+        found = landing.quarantined_exports(spark, roots, dict.fromkeys(roots, fmt))
+        place = [F.regexp_extract("file_path", f"/{name}=([^/]*)/", 1).alias(name) for name in PLACE[2:]]
+        parts.append(found.select(F.lit(fmt).alias("format"), "platform", *place, "missing").distinct())
+    return exports.union_exports(parts)
+
+
+def land_without_quarantined(spark, sf_dir):
+    """Lines of files that lack a column aren't landed, all others are: CSV files of two platforms, Parquet of one."""
+    roots = _incomplete(spark, sf_dir)
+    formats = {"Shopee": "parquet", "Lazada": "csv", "TikTok": "csv"}
+    path = fresh_folder(spark, "lines")
+    landing.write_order_lines(landing.lines_from_exports(spark, {p: roots[f][p] for p, f in formats.items()}, formats), path)
+    return _long_ids(landing.read_order_lines(spark, path)).select(*EXPORTED, "year", "month", "copies")
 
 
 def _kept(spark, sf_dir):
@@ -214,6 +230,7 @@ FROM (SELECT {threshold.LINE}, count(*) AS n FROM lines GROUP BY ALL)""",
 )
 _DISCOUNT = "CASE WHEN platform = 'Lazada' THEN NULL ELSE disc_c END AS disc_c"
 _SHIPPING = "CASE WHEN platform = 'Lazada' THEN NULL ELSE ship_c END AS ship_c"
+_SHORT = " ".join(f"WHEN '{p}' THEN '{rule.columns.get('discount', rule.columns['item'])}'" for p, rule in RULES.items())
 _EXPORTED = f"{SOURCE}, order_no, status, order_date, customer_name, item_c, {_DISCOUNT}, {_SHIPPING}"
 
 
@@ -242,14 +259,14 @@ QUERIES = {
     "union_exports": (
         union_exports,
         sql(
-            """SELECT taxpayer_id, store, CASE WHEN platform = 'Lazada' THEN order_no END AS lazada_order,
-  CASE WHEN platform = 'TikTok' THEN order_no END AS tiktok_order, sku FROM lines WHERE platform <> 'Shopee'""",
+            """SELECT taxpayer_id, store, CASE WHEN platform = 'Shopee' THEN order_no END AS shopee_order,
+  CASE WHEN platform = 'Lazada' THEN order_no END AS lazada_order, CASE WHEN platform = 'TikTok' THEN order_no END AS tiktok_order, sku FROM lines""",
             "lines",
         ),
     ),
     "ledger_from_exports": (
         ledger_from_exports,
-        sql("SELECT taxpayer_id, store, type, order_date, status, order_no, vat_c, include_vat_c FROM sales WHERE platform = 'Shopee'", "sales"),
+        sql("SELECT taxpayer_id, store, platform, type, order_date, status, order_no, vat_c, include_vat_c FROM sales", "sales"),
     ),
     "land_order_lines": (
         land_order_lines,
@@ -277,16 +294,24 @@ WHERE CAST(order_no AS BIGINT) % 3 = 0 GROUP BY ALL""",
     "scan_input_manifest": (
         scan_input_manifest,
         sql(
-            """SELECT DISTINCT 'sale' AS kind, platform, store, CAST(taxpayer_id % 8 AS VARCHAR) AS taxpayer_group, true AS has_rows
-FROM lines WHERE platform = 'TikTok'""",
-            "lines",
+            """SELECT DISTINCT kind, platform, store, CAST(taxpayer_id % 8 AS VARCHAR) AS taxpayer_group, true AS has_rows
+FROM (SELECT 'sale' AS kind, platform, store, taxpayer_id FROM lines UNION ALL SELECT 'commission', platform, store, taxpayer_id FROM invoice)""",
+            "lines", "invoice",
         ),
     ),
     "missing_columns": (
         missing_columns,
         sql(
-            """SELECT DISTINCT store, CAST(taxpayer_id % 8 AS VARCHAR) AS taxpayer_group, 'SKU Seller Discount' AS missing
-FROM lines WHERE platform = 'TikTok' AND taxpayer_id % 8 % 4 = 1""",
+            f"""SELECT DISTINCT format, platform, store, CAST(taxpayer_id % 8 AS VARCHAR) AS taxpayer_group,
+  CASE platform {_SHORT} END AS missing FROM lines, (VALUES ('csv'), ('parquet')) AS f(format) WHERE taxpayer_id % 8 % 4 = 1""",
+            "lines",
+        ),
+    ),
+    "land_without_quarantined": (
+        land_without_quarantined,
+        sql(
+            f"""SELECT {_EXPORTED}, year, month, count(*) AS copies FROM lines WHERE taxpayer_id % 8 % 4 <> 1
+GROUP BY {SOURCE}, order_no, status, order_date, customer_name, item_c, disc_c, ship_c, sku, quantity, year, month""",
             "lines",
         ),
     ),

@@ -79,6 +79,13 @@ SELECT DISTINCT {SOURCE} FROM sales_rows WHERE platform <> 'TikTok' OR taxpayer_
 SELECT {SOURCE}, kind, store || '_' || platform || '_' || kind AS file_name
 FROM (SELECT DISTINCT {SOURCE} FROM sales_rows), (VALUES ('sale'), ('commission')) AS k(kind)
 WHERE kind = 'sale' OR platform <> 'TikTok' OR taxpayer_id % 2 = 0""",
+    "periods": """
+SELECT DISTINCT taxpayer_id, year, month FROM sales_rows""",
+    "monthly": f"""
+SELECT {SOURCE}, year, month, kind
+FROM (SELECT DISTINCT {SOURCE} FROM sales_rows) JOIN periods USING (taxpayer_id), (VALUES ('sale'), ('commission')) AS k(kind)
+WHERE NOT (kind = 'sale' AND platform = 'Lazada' AND (taxpayer_id % 4 = 1 AND store = 'store2' OR (taxpayer_id + year + month) % 5 = 0))
+  AND NOT (kind = 'commission' AND platform = 'TikTok' AND (taxpayer_id + month) % 4 = 0)""",
     "entered": """
 SELECT c_custkey // 15 AS taxpayer_id, CASE WHEN c_custkey % 7 = 0 THEN 'shop_' || c_mktsegment
        WHEN c_custkey % 11 = 0 THEN ' ' ELSE c_mktsegment END AS store FROM customer""",
@@ -147,6 +154,8 @@ NEEDS = {
     "sales": ["orders_vat"],
     "selection": ["sales_rows"],
     "manifest": ["sales_rows"],
+    "periods": ["sales_rows"],
+    "monthly": ["periods"],
     "fee_month": ["sales_rows"],
     "fee_doc": ["fee_month"],
     "invoice": ["fee_doc"],

@@ -10,6 +10,7 @@ named by a manifest (`versions`), so a filing replaces its taxpayers' ranges at
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -147,5 +148,23 @@ def run_audit(amounts: DataFrame, job: str, period, run_at: dt.datetime, user_ty
     )
 
 
-def append_run_audit(audit: DataFrame, path: str) -> None:
-    audit.write.mode("append").parquet(path)
+def append_run_audit(audit: DataFrame, path: str, run_id: str | None = None) -> bool:
+    """Add a run's rows, unless the run is there already, so a retried run adds nothing. Tells if it did.
+
+    A run is known by `run_id`, or else by its job, period, time and user type.
+    """
+    spark, table = audit.sparkSession, Versions(audit.sparkSession, path)
+    first = audit.select("job", "period", "run_at", "user_type").first()
+    if first is None:
+        return False
+    unit = f"run={hashlib.sha256((run_id or repr(tuple(first))).encode()).hexdigest()}"
+    seen = table.state()
+    if unit in seen.units:
+        return False
+    version, target = table.fresh()
+    audit.write.parquet(f"{target}/{unit}")
+    try:
+        table.commit(seen, {unit: version})
+    except Conflict:  # the same run, from another driver
+        return False
+    return True

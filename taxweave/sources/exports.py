@@ -6,13 +6,12 @@ and store are columns of the file or parts of its folder, like store=x.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import reduce
 from urllib.parse import quote
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # pandas reads a doubled quote inside quotes as one quote; so does this.
@@ -111,15 +110,24 @@ def header_names(line):
     )
 
 
-def with_source(df: DataFrame) -> DataFrame:
+def _plain_path(path: Column) -> Column:
+    """One spelling of a path: listings say file:/x and readers file:///x."""
+    return F.regexp_replace(path, "^([A-Za-z0-9]+):/+", "$1:/")
+
+
+def _own_path() -> Column:
+    # The path is URL-encoded; a plus in it is a plus.
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
+def with_source(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Add what the file's place tells: taxpayer and store where they are no
     columns, and the row order of the upload as file, block, row in block."""
-    # The path is URL-encoded; a plus in it is a plus.
-    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    path = _own_path()
     placed = {
         name: F.nullif(F.regexp_extract(path, f"/{name}=([^/]*)/", 1), F.lit(""))
         for name in ("taxpayer_id", "store")
-        if name not in df.columns
+        if name not in (df.columns if columns is None else columns)
     }
     order = F.struct(
         path.alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")
@@ -127,13 +135,28 @@ def with_source(df: DataFrame) -> DataFrame:
     return df.withColumns({**placed, "line_ord": order})
 
 
-def _read_csv(spark: SparkSession, root: str, paths: list[str] | None, header: list[str], multi_line: bool) -> DataFrame:
-    schema = ", ".join("`" + name.replace("`", "``") + "` string" for name in header)
-    reader = spark.read.options(**CSV_OPTIONS).option("multiLine", str(multi_line).lower()).schema(schema)
-    if paths is None:
-        return with_source(reader.option("recursiveFileLookup", "true").option("pathGlobFilter", CSV_FILES).csv(root))
-    # A path is read as a pattern, so its own signs are escaped.
-    return with_source(reader.csv([re.sub(r"([\\\\\[\]{}*?,])", r"\\\1", p) for p in paths]))
+def whole_files(headers: DataFrame, required: list[str] | None) -> DataFrame:
+    """The files whose header has all required columns."""
+    if not required:
+        return headers
+    return headers.filter(F.size(F.array_except(F.array(*[F.lit(c) for c in required]), "header")) == 0)
+
+
+def _scan_csv(spark: SparkSession, root: str | list[str], headers: DataFrame, multi_line: bool, required: list[str] | None) -> DataFrame:
+    """One read of all files by position; a row's cells get the names of its own file's header."""
+    # One row: as many names as the marketplace's exports have had columns.
+    seen = headers.select(F.posexplode("header").alias("at", "name")).agg(F.max("at").alias("last"), F.array_sort(F.collect_set("name")).alias("names")).first()
+    names = seen.names or sorted(required or [])
+    width = 1 if seen.last is None else seen.last + 1
+    places = F.transform(F.array(*[F.lit(n) for n in names]), lambda n: F.nullif(F.array_position("header", n).cast("int"), F.lit(0)) - 1)
+    files = headers.select(_plain_path(F.col("file_path")).alias("own_file"), places.alias("places"))
+    cells = [f"c{i}" for i in range(width)]
+    reader = spark.read.options(**CSV_OPTIONS).option("multiLine", str(multi_line).lower()).schema(", ".join(f"{c} string" for c in cells))
+    raw = with_source(reader.option("recursiveFileLookup", "true").option("pathGlobFilter", CSV_FILES).csv(root), names)
+    added = [c for c in raw.columns if c not in cells and c != "line_ord"]
+    joined = raw.withColumn("cells", F.array(*cells)).join(files, _plain_path(F.col("line_ord.file")) == F.col("own_file"))
+    named = [F.get("cells", F.get("places", F.lit(i))).alias(name) for i, name in enumerate(names)]
+    return joined.select(*named, *added, "line_ord")
 
 
 def _as_text(name: str, kind: str, date_format: str | None):
@@ -144,32 +167,35 @@ def _as_text(name: str, kind: str, date_format: str | None):
     return column.cast("string")
 
 
+def export_headers(spark: SparkSession, root: str | list[str], fmt: str = "csv") -> DataFrame:
+    """file_path and header of every export below a folder."""
+    return parquet_headers(spark, root) if fmt == "parquet" else csv_headers(spark, root)
+
+
 def scan_order_export(
-    spark: SparkSession, root: str, multi_line: bool = True, fmt: str = "csv", date_format: str | None = None
+    spark: SparkSession,
+    root: str | list[str],
+    multi_line: bool = True,
+    fmt: str = "csv",
+    date_format: str | None = None,
+    required: list[str] | None = None,
 ) -> DataFrame:
     """All exports below a folder, every column as string, plus `line_ord`.
 
-    Columns are matched by name. CSV files are read once per distinct header,
-    of which there are as many as the marketplace had export versions; the
-    reader itself would match by position. `multi_line` lets quoted cells hold
-    line breaks, but then a file is not split over tasks. `date_format` is how the
-    platform writes dates and times, for landed workbooks that keep them typed.
+    Columns are matched by name. CSV files are listed and read once, by position, whatever number of header
+    versions there are: the table of headers, a row for each file, says which cell is which column. `multi_line` lets
+    quoted cells hold line breaks, but then a file is not split over tasks. `date_format` is how the
+    platform writes dates and times, for landed workbooks that keep them typed. Files that lack one of the
+    `required` columns are left out; `quality.missing_columns` lists them.
     """
-    if fmt == "parquet":
-        raw = with_source(spark.read.option("recursiveFileLookup", "true").option("mergeSchema", "true").parquet(root))
-        kept = [_as_text(c, kind, date_format).alias(c) for c, kind in raw.dtypes if c != "line_ord"]
-        return raw.select(*kept, "line_ord")
-    headers = csv_headers(spark, root)
-    versions = [row["header"] for row in headers.select("header").distinct().collect()]
-    if len(versions) == 1:
-        return _read_csv(spark, root, None, versions[0], multi_line)
-    parts = []
-    for version in sorted(versions):
-        same = F.col("header") == F.array(*[F.lit(name) for name in version])
-        # Spark's own file index keeps the same paths on the driver.
-        paths = [row["file_path"] for row in headers.filter(same).select("file_path").collect()]
-        parts.append(_read_csv(spark, root, paths, version, multi_line))
-    return union_exports(parts)
+    if fmt != "parquet":
+        return _scan_csv(spark, root, whole_files(csv_headers(spark, root), required), multi_line, required)
+    raw = with_source(spark.read.option("recursiveFileLookup", "true").option("mergeSchema", "true").parquet(*([root] if isinstance(root, str) else root)))
+    if required:
+        whole = whole_files(parquet_headers(spark, root), required).select(_plain_path(F.col("file_path")).alias("own_file"))
+        raw = raw.join(whole, _plain_path(F.col("line_ord.file")) == F.col("own_file"), "left_semi")
+    kept = [_as_text(c, kind, date_format).alias(c) for c, kind in raw.dtypes if c != "line_ord"]
+    return raw.select(*kept, "line_ord")
 
 
 def union_exports(exports: list[DataFrame]) -> DataFrame:

@@ -10,7 +10,7 @@ from taxweave.sources.exports import list_files
 PARTS = ("kind", "platform", "store", "taxpayer_id")
 
 
-def scan_input_manifest(spark: SparkSession, root: str, pattern: str = "*", parts=PARTS) -> DataFrame:
+def scan_input_manifest(spark: SparkSession, root: str | list[str], pattern: str = "*", parts=PARTS) -> DataFrame:
     """One row per uploaded file: kind, platform, store, taxpayer and size.
 
     The folders are named kind=../platform=../store=../taxpayer_id=.. in any

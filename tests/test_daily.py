@@ -89,3 +89,17 @@ def test_findings_by_name(spark):
     found = threshold.findings(fx.canonical_lines(spark, SF), 2001, dt.date(2001, 9, 1))
     assert set(found) == {"wrong_period_sources", "foreign_period_rows", "missing_months", "incomplete_orders", "unreadable_lines"}
     assert all(frame.count() > 0 for frame in found.values())
+
+
+def test_the_numbered_report_is_as_wide_for_any_number_of_stores(spark):
+    rows = [(t, f"{t}-{n:02d}", "Shopee", dt.date(2024, 3, 1 + n), 10 + n, n) for t in range(50) for n in range(t % 7 + 1)]
+    sales = spark.createDataFrame(rows, "taxpayer_id long, store string, platform string, date date, order_c long, ship_c long")
+    of_numbers = daily.numbered(sales, daily.store_numbers(sales))
+    report = daily.numbered_report(of_numbers)
+    assert len(report.columns) == 2 + 3 * 3 * 2 + 3
+    last = {r.taxpayer_id: r.cum_c for r in report.filter("date = '2024-12-31'").collect()}
+    assert last == {t: sum(10 + 2 * n for n in range(t % 7 + 1)) for t in range(50)}
+    named = report.agg(*[F.sum(c) for c in report.columns if c.endswith("_value")]).first()
+    further = daily.further_stores(of_numbers)
+    assert sum(named) + further.agg(F.sum(F.col("order_c") + F.col("ship_c"))).first()[0] == sum(last.values())
+    assert {r.number for r in further.collect()} == {4, 5, 6, 7}

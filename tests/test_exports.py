@@ -1,9 +1,11 @@
 import datetime as dt
+import random
 from pathlib import Path
 
 import pytest
 
 from taxweave.operators import inputs, ledger, lines, quality
+from taxweave.plans import landing
 from taxweave.rules import RULES
 from taxweave.sinks import reports
 from taxweave.sources import exports, manifest
@@ -62,6 +64,46 @@ def test_parquet_export(spark, tmp_path):
     assert set(names) <= set(raw.columns) and raw.select("line_ord.file").first()[0].endswith(".parquet")
 
 
+def test_any_number_of_header_versions_is_one_scan(spark, tmp_path):
+    at = "05/03/2024 10:00:00\t"
+    pick = random.Random(4)
+    for k in range(12):
+        names = [*HEADER, f"more {k}", 'a, "b"'][: len(HEADER) + k % 3]
+        cells = dict(zip(HEADER, row(f"{k:03d}\t", at, f"THB {k}.50"))) | {f"more {k}": f"m{k}", 'a, "b"': "q"}
+        order = pick.sample(names, len(names))
+        quoted = ['"' + n.replace('"', '""') + '"' if "," in n else n for n in order]
+        put(tmp_path, f"taxpayer_id=7/store=s {k}/f+{k}.csv", quoted, [[cells[n] for n in order]] * (k % 2 + 1), bom=k % 4 == 0)
+    raw = exports.scan_order_export(spark, str(tmp_path))
+    assert raw._jdf.queryExecution().executedPlan().toString().count("FileScan csv") == 1
+    read = lines.normalise_order_lines(raw, "TikTok").collect()
+    assert sorted((r.order_no, r.item_c, r.store, r.taxpayer_id) for r in read) == sorted((f"{k:03d}", k * 100 + 50, f"s {k}", "7") for k in range(12) for _ in range(k % 2 + 1))
+    assert {r["a, \"b\""] for r in raw.collect()} == {"q", None} and {r["more 4"] for r in raw.collect()} == {"m4", None}
+
+
+def test_short_rows_and_rows_of_quoted_lines(spark, tmp_path):
+    put(tmp_path, "a.csv", ["x", "y", "z"], [["1", '"two\nlines"', "3"], ["4"], ["5", "6"]])
+    put(tmp_path, "b.csv", ["z", "w"], [["7", "8"]])
+    raw = exports.scan_order_export(spark, str(tmp_path))
+    assert sorted(((r.w, r.x, r.y, r.z) for r in raw.collect()), key=repr) == sorted(
+        [(None, "1", "two\nlines", "3"), (None, "4", None, None), (None, "5", "6", None), ("8", None, None, "7")], key=repr
+    )
+
+
+@pytest.mark.parametrize("fmt", ["csv", "parquet"])
+def test_files_without_a_column_are_left_out(spark, tmp_path, fmt):
+    rule = RULES["Lazada"]
+    names = [*rule.columns.values(), *rule.carried]
+    schema = "taxpayer_id string, store string, " + ", ".join(f"`{n}` string" for n in names)
+    frame = spark.createDataFrame([("7", "a", *(["1"] * len(names)))], schema)
+    good, bad, none = (str(tmp_path / n) for n in ("good", "bad", "none"))
+    for path, dropped in ((good, []), (bad, []), (bad, [rule.columns["item"]]), (none, [rule.columns["item"]])):
+        frame.drop(*dropped).coalesce(1).write.mode("append").option("header", "true").format(fmt).save(path)
+    landed = {p: landing.lines_from_exports(spark, {"Lazada": p}, {"Lazada": fmt}).collect() for p in (good, bad, none)}
+    assert [len(landed[p]) for p in (good, bad, none)] == [1, 1, 0] and landed[bad][0].item_c == 100
+    found = landing.quarantined_exports(spark, {"Lazada": bad}, {"Lazada": fmt}).collect()
+    assert [(r.platform, r.missing) for r in found] == [("Lazada", rule.columns["item"])] and "/bad/" in found[0].file_path
+
+
 def test_missing_columns(spark, tmp_path):
     put(tmp_path, "store=a/full.csv", [*HEADER, "more"], [])
     short = [h for h in HEADER if h not in ("Order Status", "Created Time", "Buyer Username")]
@@ -83,6 +125,30 @@ def test_manifest_and_inputs(spark, tmp_path):
     assert {r.store for r in inputs.prune_inputs(files, selection).collect()} == {"a", "b"}
 
 
+def test_gates(spark):
+    source = "taxpayer_id long, store string, platform string"
+    selection = spark.createDataFrame([(1, "a", "Shopee"), (1, "a", "Shopee"), (1, "b", "Lazada"), (2, "a", "Shopee")], source)
+    uploads = [(1, "a", "Shopee", "sale", 1), (1, "a", "Shopee", "commission", 1), (1, "b", "Lazada", "sale", 1), (1, "b", "Lazada", "commission", 1)]
+    uploads += [(1, "a", "Shopee", "sale", 2), (2, "a", "Shopee", "sale", 1), (2, "a", "Shopee", "sale", 1), (2, "a", "TikTok", "commission", 1)]
+    files = spark.createDataFrame([(*u[:4], 2024, u[4]) for u in uploads], source + ", kind string, year int, month int")
+    periods = spark.createDataFrame([(1, 2024, 1), (1, 2024, 2), (2, 2024, 1), (3, 2024, 1)], "taxpayer_id long, year int, month int")
+    state = inputs.completeness(inputs.wanted_inputs(selection, periods), files)
+    assert sorted((r.taxpayer_id, r.month, r.wanted, r.missing, r.complete) for r in state.collect()) == [(1, 1, 4, 0, True), (1, 2, 4, 3, False), (2, 1, 2, 1, False)]
+    # Taxpayers without a selection want nothing, so nothing of theirs is held back.
+    assert sorted((r.taxpayer_id, r.month) for r in inputs.drop_incomplete(periods, state).collect()) == [(1, 1), (3, 1)]
+
+
+def test_an_audit_run_is_recorded_once(spark, tmp_path):
+    amounts = spark.createDataFrame([(1, "a", 5), (1, "b", 6), (2, "a", 7)], "taxpayer_id long, store string, amount_c long")
+    run = lambda at: reports.run_audit(amounts, "vat", "2024-03", dt.datetime(2024, 4, at), "person")
+    path = str(tmp_path / "audit")
+    done = [reports.append_run_audit(run(1), path), reports.append_run_audit(run(1), path), reports.append_run_audit(run(2), path)]
+    done += [reports.append_run_audit(run(3), path, "r"), reports.append_run_audit(run(4), path, "r"), reports.append_run_audit(run(5).limit(0), path)]
+    assert done == [True, False, True, True, False, False]
+    read = reports.read_written(spark, path, run(1).schema).collect()
+    assert sorted((r.run_at[:10], r.taxpayer_id, r.stores, r.total_c) for r in read) == [(f"2024-04-0{d}", *x) for d in (1, 2, 3) for x in ((1, "a, b", 11), (2, "a", 7))]
+
+
 def test_store_names(spark):
     names = spark.createDataFrame([(1, "a"), (1, "a"), (1, "x_y"), (1, " "), (1, None), (2, "a")], "taxpayer_id long, store string")
     found = {(r.taxpayer_id, r.store, r.finding) for r in inputs.store_name_findings(names).collect()}
