@@ -10,7 +10,7 @@ Two tokens stay apart if no merge of a piece at the end of the first with a piec
 before the merges that take up these pieces (`Merges.apart`); of equal merges the one further left comes first.
 Tokens that the merges don't make of their own bytes (`Merges.made`) are never a state.
 
-Each task keeps the ids of up to MEMO_WORDS words. Words of more than LONG_WORD bytes aren't put into the trie: their
+Each task keeps the ids of the last MEMO_WORDS words, and of those before them. Words of more than LONG_WORD bytes aren't put into the trie: their
 states are computed along the word. Null and empty texts have no ids; decoding no ids gives ''. Texts of any length are encoded whole. Repeated
 rows are encoded each for itself, as are ties; an empty table gives no rows. Other columns are kept in the struct `row`, so
 no name clashes. Decoding replaces what is no UTF-8 by U+FFFD and leaves out ids that the vocabulary doesn't have.
@@ -29,10 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from taxweave.llm.common import pieces
+from taxweave.llm.common import begin, pieces
 from taxweave.llm.tokens import _byte_letters
 
-MEMO_WORDS, MEMO_PAIRS = 400_000, 500_000
+MEMO_WORDS, MEMO_PAIRS = 250_000, 500_000
 LONG_WORD = 4096
 #: The words of byte-level tokenizers: fixed by them.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -184,7 +184,10 @@ class Encoder:
     """Ids of texts by one tokenizer; one for each Python worker."""
 
     def __init__(self, path: str, special_is_text: bool = False):
-        self.path, self.merges, self.known, self.library = path, Merges(path), {}, None
+        self.path, self.merges, self.library = path, Merges(path), None
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        self.special_ids = {t: np.array([i], "<u4").tobytes() for t, i in self.merges.special.items()}
         special = sorted(self.merges.special, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special and not special_is_text else None
 
@@ -199,16 +202,17 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        special = self.merges.special
-        cut = [[x for x in (self.special.split(t) if self.special else [t]) if x] for t in texts]
-        split = [[[x] if self.special and x in special else self.words(x) for x in parts] for parts in cut]
+        split = [self._split(t) for t in texts]
         if len(self.known) > MEMO_WORDS:
-            self.known = {}
-        if not self.known:
-            self.known = {t: np.array([i], "<u4").tobytes() for t, i in special.items()} if self.special else {}
-        known = self.known
-        trie, new = Trie(), {w for parts in split for words in parts for w in words if w not in known}
-        for word in new:
+            self.before, self.known = self.known, {}
+        if self.special:
+            self.known.update(self.special_ids)
+        known, before, trie = self.known, self.before, Trie()
+        for word in set().union(*split).difference(known):
+            ids = before.get(word)
+            if ids is not None:
+                known[word] = ids
+                continue
             data = word.encode()
             if len(data) > LONG_WORD:
                 known[word] = along(data, self.merges)
@@ -216,13 +220,21 @@ class Encoder:
                 trie.insert(data)
         for data, ids in trie.encode(self.merges).items():
             known[data.decode()] = ids
-        return [b"".join([known[w] for words in parts for w in words]) for parts in split]
+        return [b"".join(map(known.__getitem__, words)) for words in split]
+
+    def _split(self, text: str) -> list[str]:
+        """The words and special tokens of a text."""
+        if not self.special or not self.special.search(text):
+            return self.words(text)
+        ids = self.special_ids
+        return [w for x in self.special.split(text) if x for w in ([x] if x in ids else self.words(x))]
 
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
 
 def encoder(path: str, special_is_text: bool = False) -> Encoder:
+    begin("bpe", _encoders.clear)
     if (path, special_is_text) not in _encoders:
         _encoders[path, special_is_text] = Encoder(path, special_is_text)
     return _encoders[path, special_is_text]
