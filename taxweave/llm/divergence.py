@@ -23,6 +23,7 @@ the item's UTF-8 bytes. Other columns are not looked at. An empty table gives no
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,23 +31,84 @@ from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from taxweave.llm.common import LOWER, UPPER, settle
+from taxweave.llm import grams
+from taxweave.llm.common import pieces, settle
 from taxweave.session import fresh_folder
 
-#: Terms are what lies between characters of this class.
-NO_TERM = "[\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 LEAST_DOCUMENTS = 30
 SCALE, PRIOR = 1_000_000_000, 5
 MOST_TERMS = 50
 MOST_DOCUMENTS = (1 << 31) - 1
 TILE_TERMS, TILE_SOURCES = 4096, 128
-#: In every document and no term of any, so that no vocabulary is empty, which CountVectorizer refuses.
+#: In every document and no term of any (terms hold letters and what isn't ASCII), so that no vocabulary is empty, which CountVectorizer refuses.
 EVERYWHERE = " "
 
 
-def terms(text: Column) -> Column:
-    lowered = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
-    return F.filter(F.split(lowered, NO_TERM), lambda t: t != "")
+#: For each byte of UTF-8 what it is in a term, 0 between terms.
+_IN_TERM = np.arange(256, dtype=np.uint8)
+_IN_TERM[:0x80] = 0
+_IN_TERM[ord("A") : ord("Z") + 1] = _IN_TERM[ord("a") : ord("z") + 1] = np.arange(ord("a"), ord("z") + 1)
+_MARK = 1
+#: Entries of vectors that a task sums before it hands them on.
+HELD = 1 << 22
+
+
+def terms(column: pa.Array) -> pa.ListArray:
+    """EVERYWHERE and the terms of each text."""
+    data, offsets = grams.buffer(column)
+    marked = np.insert(_IN_TERM[data], offsets[:-1], _MARK)
+    bounds = offsets + np.arange(len(offsets))
+    inside = marked != 0
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1] | (marked[:-1] == _MARK) | (marked[1:] == _MARK)
+    places = np.flatnonzero(begins)
+    marked[marked == _MARK] = ord(EVERYWHERE)
+    ends = np.append(np.cumsum(inside)[places] - 1, inside.sum()).astype(np.int32)
+    words = pa.StringArray.from_buffers(len(places), pa.py_buffer(ends), pa.py_buffer(marked[inside]))
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(places, bounds).astype(np.int32)), words)
+
+
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for some in pieces(batch, "text"):
+            yield pa.record_batch([some.column("source"), terms(some.column("text")), some.column("folder")], ["source", "words", "folder"])
+
+
+def _added(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys and the sum of each one's values."""
+    key, value = np.concatenate([*keys, np.zeros(0, np.int64)]), np.concatenate([*values, np.zeros(0, np.int64)])
+    order = np.argsort(key, kind="stable")
+    key, value = key[order], value[order]
+    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    return key[new], np.add.reduceat(value, new) if len(new) else value
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Vectors of a task summed by source, entry by entry: (source, at, count)."""
+    names: dict[str, int] = {}
+    keys, values, held = [], [], 0
+
+    def rows(key: np.ndarray, value: np.ndarray) -> Iterator[pa.RecordBatch]:
+        known = pa.array(list(names), pa.string())
+        for start in range(0, len(key), 1 << 16):
+            some = slice(start, start + (1 << 16))
+            source = known.take(pa.array(key[some] >> 32))
+            yield pa.record_batch([source, pa.array((key[some] & 0xFFFFFFFF).astype(np.int32)), pa.array(value[some])], ["source", "at", "count"])
+
+    for batch in batches:
+        code = np.array([names.setdefault(s, len(names)) for s in batch.column("source").to_pylist()], np.int64)
+        at = batch.column("indices")
+        many = np.diff(at.offsets.to_numpy())
+        keys.append((np.repeat(code, many) << 32) | at.flatten().to_numpy().astype(np.int64))
+        values.append(batch.column("values").flatten().to_numpy().astype(np.int64))
+        held += len(keys[-1])
+        if held > HELD:
+            key, value = _added(keys, values)
+            keys, values, held = [key], [value], len(key)
+        if held > HELD // 2 and len(keys) == 1:
+            yield from rows(keys[0], values[0])
+            keys, values, held = [], [], 0
+    yield from rows(*_added(keys, values))
 
 
 def _share(count: Column, total: Column, n_terms: Column) -> Column:
@@ -68,9 +130,8 @@ class Counts:
         if any(r.rows > MOST_DOCUMENTS for r in large):
             raise ValueError(f"a language has more than {MOST_DOCUMENTS} documents")
         # One folder for each language, as each is read alone and twice. Its name is a digest, for '' can't be one.
-        words = F.concat(F.array(F.lit(EVERYWHERE)), terms(F.col("text"))).alias("words")
-        wanted = rows.join(F.broadcast(langs.filter(F.col("rows") >= least).select("lang")), "lang")
-        split = settle(wanted.select("source", words, F.sha1("lang").alias("folder")), "terms", "folder") if large else None
+        wanted = rows.join(F.broadcast(langs.filter(F.col("rows") >= least).select("lang")), "lang").select("source", "text", F.sha1("lang").alias("folder"))
+        split = settle(wanted.mapInArrow(_split, "source string, words array<string>, folder string"), "terms", "folder") if large else None
         vocabularies, counts = [], []
         for lang in sorted(r.lang for r in large):
             own = split.filter(F.col("folder") == hashlib.sha1(lang.encode()).hexdigest()).select("source", "words")
@@ -80,8 +141,9 @@ class Counts:
             known = spark.read.parquet(f"{path}/data").select(F.posexplode("vocabulary").alias("at", "term"))
             vocabularies.append(known.filter(F.col("term") != EVERYWHERE).select(F.lit(lang).alias("lang"), "at", "term"))
             vector = F.unwrap_udt(F.col("vector"))
-            entries = model.transform(own).select("source", F.explode(F.arrays_zip(vector["indices"].alias("at"), vector["values"].alias("n"))).alias("entry"))
-            summed = entries.groupBy("source", F.col("entry.at").alias("at")).agg(F.sum(F.col("entry.n").cast("long")).alias("count"))
+            entries = model.transform(own).select("source", vector["indices"].alias("indices"), vector["values"].alias("values"))
+            entries = entries.mapInArrow(_summed, "source string, at int, count long")
+            summed = entries.groupBy("source", "at").agg(F.sum("count").alias("count"))
             counts.append(settle(summed.select(F.lit(lang).alias("lang"), "source", "at", "count"), "counts"))
         none = spark.createDataFrame([], "lang string, at int, term string"), spark.createDataFrame([], "lang string, source string, at int, count long")
         self.terms = settle(_all(vocabularies, none[0]), "vocabularies")
