@@ -246,6 +246,9 @@ def purchase_ledger(docs: DataFrame, strict: bool = False) -> DataFrame:
     """Input-tax ledger from first-page texts: classify, extract, set the
     unsupported aside, keep the period, drop repeated uploads."""
     extracted = extract_invoice_fields(classify_invoice_docs(docs))
-    if strict:
-        extracted = settle(extracted, "extracted")
+    return ledger_of_extracted(settle(extracted, "extracted") if strict else extracted, strict)
+
+
+def ledger_of_extracted(extracted: DataFrame, strict: bool = False) -> DataFrame:
+    """The same from extracted fields."""
     return dedup_invoices(filter_invoice_period(supported_invoices(extracted, strict)))

@@ -16,8 +16,22 @@ from taxweave.operators.lines import SOURCE, is_open, per_platform
 from taxweave.session import settle
 
 
+def profile(lines: DataFrame) -> DataFrame:
+    """Lines counted by source, month, order and status, with the gaps among them.
+
+    All findings can be made from it in place of the lines, so that they are read once.
+    """
+    return lines.groupBy(*SOURCE, "year", "month", "order_no", "status").agg(
+        F.count(F.lit(1)).alias("rows"), *[F.count_if(F.col(c).isNull()).alias(name) for name, c in GAPS.items()]
+    )
+
+
+GAPS = {"no_amount": "item_c", "no_discount": "disc_c", "no_shipping": "ship_c"}
+
+
 def _rows_per_period(lines: DataFrame) -> DataFrame:
-    return lines.groupBy(*SOURCE, "year", "month").agg(F.count(F.lit(1)).alias("rows"))
+    rows = F.sum("rows") if "rows" in lines.columns else F.count(F.lit(1))
+    return lines.groupBy(*SOURCE, "year", "month").agg(rows.alias("rows"))
 
 
 def _rows_where(condition: Column) -> Column:
@@ -73,17 +87,18 @@ def wrong_period_sources(lines: DataFrame, year: int) -> DataFrame:
     )
 
 
-def reject_wrong_period(lines: DataFrame, year: int) -> DataFrame:
-    """Lines of sources that pass `wrong_period_sources`.
+def reject_wrong_period(lines: DataFrame, year: int, counted: DataFrame | None = None) -> DataFrame:
+    """Lines of sources that pass `wrong_period_sources`, which is told from `counted` (a profile) if there is one.
 
     The findings are written first, so Spark knows their size when it joins the lines.
     """
-    return lines.join(settle(wrong_period_sources(lines, year).select(*SOURCE), "wrong_period"), SOURCE, "left_anti")
+    wrong = wrong_period_sources(lines if counted is None else counted, year).select(*SOURCE)
+    return lines.join(settle(wrong, "wrong_period"), SOURCE, "left_anti")
 
 
-def reject_missing_months(lines: DataFrame, year: int, as_of: dt.date) -> DataFrame:
+def reject_missing_months(lines: DataFrame, year: int, as_of: dt.date, counted: DataFrame | None = None) -> DataFrame:
     """Lines of sources whose platform wants every month and whose months are all there."""
-    missing = missing_months(lines, year, as_of).filter("severity = 'reject'").select(*SOURCE)
+    missing = missing_months(lines if counted is None else counted, year, as_of).filter("severity = 'reject'").select(*SOURCE)
     return lines.join(settle(missing, "missing_months"), SOURCE, "left_anti")
 
 
@@ -138,6 +153,8 @@ def missing_months(lines: DataFrame, year: int, as_of: dt.date) -> DataFrame:
 
 def unreadable_lines(lines: DataFrame) -> DataFrame:
     """Per source: lines set aside or read with a gap, by reason."""
+    if "rows" in lines.columns:
+        return _unreadable_of_profile(lines)
     uses_discount = F.col("platform").isin("Shopee", "TikTok")
     counts = {
         "no_order_no": F.col("order_no").isNull(),
@@ -154,3 +171,16 @@ def unreadable_lines(lines: DataFrame) -> DataFrame:
         .groupBy(*SOURCE)
         .agg(*[F.count_if(condition).alias(name) for name, condition in counts.items()])
     )
+
+
+def _unreadable_of_profile(counted: DataFrame) -> DataFrame:
+    uses_discount = F.col("platform").isin("Shopee", "TikTok")
+    counts = {
+        "no_order_no": F.when(F.col("order_no").isNull(), F.col("rows")).otherwise(0),
+        "no_date": F.when(F.col("year").isNull(), F.col("rows")).otherwise(0),
+        "no_amount": F.col("no_amount"),
+        "no_discount": F.when(uses_discount, F.col("no_discount")).otherwise(0),
+        "no_shipping": F.when(uses_discount, F.col("no_shipping")).otherwise(0),
+    }
+    sums = counted.groupBy(*SOURCE).agg(*[F.sum(c).alias(name) for name, c in counts.items()])
+    return sums.filter(F.greatest(*counts) > 0)

@@ -76,26 +76,36 @@ def gated_status(order_lines: DataFrame, selection: DataFrame, manifest: DataFra
 
 
 def threshold_check(
-    order_lines: DataFrame, stores: list[str], year: int | None = None, as_of: dt.date | None = None
+    order_lines: DataFrame, stores: list[str], year: int | None = None, as_of: dt.date | None = None, strict: bool = False
 ) -> ThresholdCheck:
-    """`as_of` leaves out the open month of the running year; without it the
+    """With `strict` and a year, sources that `findings` rejects are left out. `as_of` leaves out the open month of the running year; without it the
     whole year counts. The lines are read once: daily sales are written to the
     shared folder and the other results start from there."""
+    if strict:
+        if year is None:
+            raise ValueError("strict checks are made for one year")
+        order_lines = strict_lines(order_lines, year, as_of or dt.date(year, 12, 31))
     sales = settle(daily_from_lines(order_lines, year, as_of), "daily")
     return ThresholdCheck(sales, status_from_daily(sales), daily.daily_report(sales, stores, as_of))
 
 
-def strict_lines(order_lines: DataFrame, year: int, as_of: dt.date) -> DataFrame:
+def profile(order_lines: DataFrame) -> DataFrame:
+    """What `findings` and `strict_lines` are told from: the lines that count, read once and written as counts."""
+    return settle(quality.profile(lines.drop_cancelled(order_lines)), "profile")
+
+
+def strict_lines(order_lines: DataFrame, year: int, as_of: dt.date, counted: DataFrame | None = None) -> DataFrame:
     """Lines of the year without the sources that `findings` rejects: those with rows of other
     years only, and those of a platform that wants every month, with a month missing."""
     kept = lines.drop_cancelled(order_lines)
-    inside = lines.filter_period(quality.reject_wrong_period(kept, year), year)
-    return quality.reject_missing_months(inside, year, as_of)
+    counted = profile(order_lines) if counted is None else counted
+    inside = lines.filter_period(quality.reject_wrong_period(kept, year, counted), year)
+    return quality.reject_missing_months(inside, year, as_of, counted)
 
 
-def findings(order_lines: DataFrame, year: int, as_of: dt.date) -> dict[str, DataFrame]:
+def findings(order_lines: DataFrame, year: int, as_of: dt.date, counted: DataFrame | None = None) -> dict[str, DataFrame]:
     """What a user should look at before trusting the result, by name."""
-    kept = lines.drop_cancelled(order_lines)
+    kept = profile(order_lines) if counted is None else counted
     inside = lines.filter_period(kept, year)
     return {
         "wrong_period_sources": quality.wrong_period_sources(kept, year),

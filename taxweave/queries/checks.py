@@ -175,6 +175,20 @@ def land_without_quarantined(spark, sf_dir):
     return _long_ids(landing.read_order_lines(spark, path)).select(*EXPORTED, "year", "month", "copies")
 
 
+def findings_of_a_profile(spark, sf_dir):
+    """All findings about 2001 from one profile of the lines, one row each."""
+    found = plans_threshold.findings(fx.canonical_lines(spark, sf_dir), 2001, SEEN_ON)
+    number, text = {"wrong_period_sources": "outside_rows", "foreign_period_rows": "foreign_rows", "incomplete_orders": "open_orders", "unreadable_lines": "no_discount"}, {
+        "wrong_period_sources": "years", "foreign_period_rows": "other_years", "missing_months": "missing_months",
+    }
+    parts = []
+    for name, rows in found.items():
+        n = F.col(number[name]) if name in number else F.lit(None)
+        detail = F.col(text[name]) if name in text else F.lit(None)
+        parts.append(rows.select("taxpayer_id", "store", "platform", F.lit(name).alias("finding"), n.cast("long").alias("n"), detail.cast("string").alias("detail")))
+    return exports.union_exports(parts)
+
+
 def _kept(spark, sf_dir):
     return lines.drop_cancelled(fx.canonical_lines(spark, sf_dir))
 
@@ -350,6 +364,23 @@ FROM kept GROUP BY {SOURCE} HAVING count(*) FILTER (WHERE year <> 1998) > 0""",
         ),
     ),
     "missing_months": (missing_months, _months(2001, 8)),
+    "findings_of_a_profile": (
+        findings_of_a_profile,
+        sql(
+            f"""SELECT {SOURCE}, 'wrong_period_sources' AS finding, outside_rows AS n, years AS detail FROM ({_WRONG})
+UNION ALL SELECT {SOURCE}, 'foreign_period_rows', count(*) FILTER (WHERE year <> 2001), {_YEARS.format(y=2001)}
+  FROM kept GROUP BY {SOURCE} HAVING count(*) FILTER (WHERE year <> 2001) > 0
+UNION ALL SELECT {SOURCE}, 'missing_months', NULL, string_agg(CAST(m AS VARCHAR), ', ' ORDER BY m)
+  FROM (SELECT DISTINCT {SOURCE} FROM kept WHERE year = 2001) s, range(1, 9) AS months(m)
+  WHERE NOT EXISTS (SELECT 1 FROM kept k WHERE k.year = 2001 AND k.taxpayer_id = s.taxpayer_id AND k.store = s.store
+    AND k.platform = s.platform AND k.month = m) GROUP BY {SOURCE}
+UNION ALL SELECT {SOURCE}, 'incomplete_orders', count(DISTINCT order_no), NULL FROM kept
+  WHERE year = 2001 AND (status IS NULL OR status NOT IN ('สำเร็จแล้ว', 'confirmed', 'Completed')) GROUP BY {SOURCE}
+UNION ALL SELECT {SOURCE}, 'unreadable_lines', count(*) FILTER (WHERE disc_c IS NULL), NULL FROM kept
+  WHERE disc_c IS NULL OR ship_c IS NULL OR item_c IS NULL GROUP BY {SOURCE}""",
+            "kept",
+        ),
+    ),
     "missing_months_full_year": (missing_months_full_year, _months(1998, 12)),
     "unreadable_lines": (
         unreadable_lines,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from taxweave import fixtures as fx
 from taxweave.operators import daily, lines
-from taxweave.plans import threshold
+from taxweave.plans import balances, landing, threshold
 from taxweave.queries.sql import SOURCE, sql
 from taxweave.session import fresh_folder, settle
 from taxweave.sinks import reports
@@ -125,6 +125,18 @@ def threshold_left_out(spark, sf_dir):
     return _gated(spark, sf_dir).left_out
 
 
+def carried_balances(spark, sf_dir):
+    """Verdicts carried through four landings: late years first, then early ones with copies of the late, an upload
+    with a mistake, and its correction."""
+    rows = fx.canonical_lines(spark, sf_dir)
+    landed, path = fresh_folder(spark, "lines"), fresh_folder(spark, "balances")
+    wrong = rows.filter("month = 5").withColumn("item_c", F.col("item_c") * 9)
+    for name, part in (("late", rows.filter("year >= 1998")), ("fix", wrong), ("early", rows.filter("year <= 1998")), ("fix", rows.filter("month = 5"))):
+        landing.write_order_lines(lines.dedup_lines(part), landed, name)
+        balances.update(spark, landed, path)
+    return balances.status(spark, path)
+
+
 def write_daily_sales(spark, sf_dir):
     path = fresh_folder(spark, "daily")
     report = daily_report(spark, sf_dir)
@@ -297,3 +309,5 @@ LEFT JOIN (SELECT taxpayer_id, date, {_MATRIX}, CAST(sum(order_c + ship_c) AS BI
         sql(_AUDIT.format(user="person", where="true") + " UNION ALL " + _AUDIT.format(user="company", where="order_c + ship_c > 0"), "daily"),
     ),
 }
+
+QUERIES["carried_balances"] = (carried_balances, QUERIES["threshold_status"][1])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from taxweave import fixtures as fx
 from taxweave.operators import inputs, invoices, ledger, lines
-from taxweave.plans import vat
+from taxweave.plans import documents, vat
 from taxweave.queries.sql import SOURCE, sql
 from taxweave.session import fresh_folder, settle
 from taxweave.sinks import reports
@@ -120,6 +120,14 @@ def vat_return(spark, sf_dir):
     return vat.vat_months(fx.canonical_lines(spark, sf_dir), _docs(spark, sf_dir)).summary
 
 
+def purchases_of_landed_documents(spark, sf_dir):
+    """The input-tax ledger of documents landed in three uploads that share most of them."""
+    docs, path = _docs(spark, sf_dir), fresh_folder(spark, "documents")
+    for part in (docs.filter("year <= 1997"), docs, docs.filter("month <= 6")):
+        documents.land_documents(part, path)
+    return documents.purchases(spark, path).select(*invoices.PURCHASES)
+
+
 def vat_return_gated(spark, sf_dir):
     """Returns of the periods whose invoices name one tax id at most."""
     return vat.gated(vat.vat_months(fx.canonical_lines(spark, sf_dir), _docs(spark, sf_dir))).summary
@@ -274,6 +282,7 @@ UNION ALL SELECT {SOURCE}, year, month, 'fee' AS side, NULL AS order_no, doc_num
         vat_return_gated,
         sql(_RETURN.format(sales=_ONE_ID.format(side="sales"), fees=_ONE_ID.format(side="purchases")), "sales", "purchases"),
     ),
+    "purchases_of_landed_documents": (purchases_of_landed_documents, sql(f"SELECT {PURCHASE} FROM purchases", "purchases")),
     "vat_return_complete": (
         vat_return_complete,
         sql(_RETURN.format(sales=_WHOLE, fees=_WHOLE), "sales", "purchases", "selection", "monthly"),

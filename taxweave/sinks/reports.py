@@ -12,7 +12,7 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -31,6 +31,10 @@ def read_written(spark: SparkSession, path: str, schema: StructType, fmt: str =
     return spark.createDataFrame([], schema) if rows is None else rows
 
 
+def taxpayer_range(ranges: int) -> Column:
+    return F.pmod(F.xxhash64(F.col("taxpayer_id").cast("string")), F.lit(ranges)).alias("range")
+
+
 def _unit(folders: list[str], row: Row) -> str:
     return "/".join(f"{c}={row[c]}" for c in [*folders, "range"])
 
@@ -54,7 +58,7 @@ def _write_sorted(
         for attempt in range(tries):
             seen = table.state()
             ranges = int(seen.notes.get("ranges", ranges))
-            place = F.pmod(F.xxhash64(F.col("taxpayer_id").cast("string")), F.lit(ranges)).alias("range")
+            place = taxpayer_range(ranges)
             # At most one row for each folder and range.
             units = [_unit(folders, r) for r in touched.select(*folders, place).distinct().collect()]
             rows = new.select("*", place)

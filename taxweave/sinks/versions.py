@@ -45,13 +45,15 @@ class Versions:
         target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{MANIFESTS}/{name}")
         return target, target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def state(self) -> State:
-        """The newest whole manifest. One short line a unit is read, whatever the table's size."""
+    def state(self, number: int | None = None) -> State:
+        """The newest whole manifest, or the one of this number. One short line a unit is read, whatever the table's size."""
+        if number == 0:
+            return State(0, {}, {})
         folder, store = self._file("")
         if not store.exists(folder):
             return State(0, {}, {})
         names = sorted((f.getPath().getName() for f in store.listStatus(folder)), reverse=True)
-        numbers = [n for n in names if n.isdigit()]
+        numbers = [n for n in names if n.isdigit() and number in (None, int(n))]
         for name in numbers:
             lines = self._read(name).split("\n")
             if lines[-1] == WHOLE:
@@ -67,15 +69,16 @@ class Versions:
         finally:
             stream.close()
 
-    def commit(self, seen: State, changes: dict[str, str | None], notes: dict[str, str] | None = None, alone: bool = False) -> None:
+    def commit(self, seen: State, changes: dict[str, str | None], notes: dict[str, str] | None = None, alone: bool = False, marks: dict[str, str] | None = None) -> None:
         """Make these versions of units live; None ends a unit. `seen` is the state that the new files were made from.
 
-        With `alone` any commit in between is a conflict, for writers whose result hangs on all units.
+        With `alone` any commit in between is a conflict, for writers whose result hangs on all units. The first
+        `notes` of a table stay, `marks` replace what they were.
         """
         now = seen
         while True:
             units = {k: v for k, v in {**now.units, **changes}.items() if v is not None}
-            rows = [*(f"note\t{k}\t{v}" for k, v in {**(notes or {}), **now.notes}.items()), *(f"unit\t{k}\t{v}" for k, v in sorted(units.items()))]
+            rows = [*(f"note\t{k}\t{v}" for k, v in {**(notes or {}), **now.notes, **(marks or {})}.items()), *(f"unit\t{k}\t{v}" for k, v in sorted(units.items()))]
             if self._create(f"{now.number + 1:020d}", "\n".join([*rows, WHOLE])):
                 return
             now = self.state()
