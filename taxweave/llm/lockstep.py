@@ -20,6 +20,7 @@ table gives no rows. Other columns are kept in the struct `row`, so no name clas
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,16 +29,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from taxweave.llm import tokens
 from taxweave.llm.bpe import Merges
-from taxweave.llm.common import pieces, settle
+from taxweave.llm.common import begin, pieces, settle
 
+#: Parts whose ids a task keeps, twice: those of late, and of those before them.
 MEMO_PARTS = 200_000
+#: Characters of new parts that are encoded as one text.
+TOGETHER = 1 << 16
 #: About so many A tokens of a document are walked one after the other.
 LANE_TOKENS = 1024
 BROADCAST_PAIRS = 1_000_000
-#: A space behind another character: no token of either tokenizer goes over it.
-_PART = re.compile(r"(?<=[^ ])(?= )")
+#: Before a single space between other characters: no token of either tokenizer goes over it.
+_PART = re.compile(r"(?<=\S)(?= \S)")
 
 
 class Sides:
@@ -45,14 +48,17 @@ class Sides:
 
     def __init__(self, a_path: str, b_path: str):
         import sentencepiece
+        from tokenizers import Tokenizer
 
-        self.a = tokens.encoder(a_path)
+        self.a = Tokenizer.from_file(a_path)
+        self.a.encode_special_tokens = True
         known = Merges(a_path).bytes
         self.a_bytes = [known.get(i, b"") for i in range(max(known) + 1)]
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         self.b_bytes = [self._spelt(i) for i in range(self.b.get_piece_size())]
         self.a_size, self.b_size = (np.array([len(x) for x in side], np.int64) for side in (self.a_bytes, self.b_bytes))
-        self.parts: dict[str, bytes | None] = {}
+        self.parts: dict[str, tuple[bytes, bytes] | None] = {}
+        self.before: dict[str, tuple[bytes, bytes] | None] = {}
         names = [str(i).encode() for i in range(max(len(self.a_bytes), len(self.b_bytes)))]
         # How an id is written: A inside and at the end of a group, then B.
         self.written = [name + mark for mark, n in zip((b",", b"|", b",", b";"), (len(self.a_bytes),) * 2 + (len(self.b_bytes),) * 2) for name in names[:n]]
@@ -64,36 +70,61 @@ class Sides:
             return bytes([int(piece[3:5], 16)])
         return piece.replace("▁", " ").encode()
 
-    def _part(self, part: str) -> bytes | None:
-        """B ids of a part that begins with a space, None if they spell something else."""
-        ids = self.b.encode(part[1:], num_threads=1) if part != " " else [self.b.piece_to_id("▁")]
-        right = b"".join([self.b_bytes[i] for i in ids]) == part.encode()
-        return np.array(ids, "<u4").tobytes() if right else None
-
-    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
-        """A and B ids of space + text, None if their bytes differ from it."""
-        whole = " " + text
-        known = self.parts
-        found = []
-        for part in _PART.split(whole):
-            ids = known.get(part, b"")
-            if ids == b"":
-                if len(known) > MEMO_PARTS:
-                    known.clear()
-                ids = known[part] = self._part(part)
-            if ids is None:
-                return None
-            found.append(ids)
-        a = np.frombuffer(self.a.encode(whole), "<u4")
-        if b"".join(map(self.a_bytes.__getitem__, a.tolist())) != whole.encode():
-            return None
-        return a, np.frombuffer(b"".join(found), "<u4")
+    def _part(self, part: str) -> tuple[bytes, bytes] | None:
+        """A and B ids of a part that begins with a space, None if they spell something else."""
+        a, spelt = self.a.encode(part, add_special_tokens=False).ids, part.encode()
+        b = self.b.encode(part[1:], num_threads=1) if part != " " else [self.b.piece_to_id("▁")]
+        right = b"".join([self.b_bytes[i] for i in b]) == spelt == b"".join([self.a_bytes[i] for i in a])
+        return (array("I", a).tobytes(), array("I", b).tobytes()) if right else None
+
+    def _at_once(self, parts: list[str]) -> None:
+        """The ids of many parts, encoded as one text and cut at the parts' ends."""
+        whole = "".join(parts)
+        ids = self.a.encode(whole, add_special_tokens=False).ids, self.b.encode(whole[1:], num_threads=1)
+        ends = np.cumsum([len(p.encode()) for p in parts])
+        cut = []
+        for side, spelt, size in zip(ids, (self.a_bytes, self.b_bytes), (self.a_size, self.b_size)):
+            side = np.array(side, "<u4")
+            after = np.cumsum(size[side])
+            at = np.searchsorted(after, ends)
+            if b"".join([spelt[i] for i in side.tolist()]) != whole.encode() or not np.array_equal(after[np.minimum(at, len(after) - 1)], ends):
+                self.parts.update((p, self._part(p)) for p in parts)
+                return
+            data, bounds = side.tobytes(), [0, *(4 * (at + 1)).tolist()]
+            cut.append([data[x:y] for x, y in zip(bounds[:-1], bounds[1:])])
+        self.parts.update(zip(parts, zip(*cut)))
+
+    def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray] | None]:
+        """A and B ids of space + text, None for no text and if their bytes differ from it."""
+        split = [_PART.split(f" {t}") if t else [] for t in texts]
+        if len(self.parts) > MEMO_PARTS:
+            self.before, self.parts = self.parts, {}
+        known, some, held = self.parts, [], 0
+        for part in set().union(*split).difference(known):
+            if part in self.before:
+                known[part] = self.before[part]
+            elif len(part) > 1 and not part[1].isspace() and not part[-1].isspace():
+                some.append(part)
+                held += len(part)
+                if held > TOGETHER:
+                    self._at_once(some)
+                    some, held = [], 0
+            else:
+                known[part] = self._part(part)
+        if some:
+            self._at_once(some)
+        out = []
+        for parts in split:
+            found = list(map(known.__getitem__, parts))
+            out.append(None if not found or None in found else tuple(np.frombuffer(b"".join([f[side] for f in found]), "<u4") for side in (0, 1)))
+        return out
 
 
 _sides: dict[tuple[str, str], Sides] = {}
 
 
 def sides(a_path: str, b_path: str) -> Sides:
+    begin("lockstep", _sides.clear)
     if (a_path, b_path) not in _sides:
         _sides[a_path, b_path] = Sides(a_path, b_path)
     return _sides[a_path, b_path]
@@ -156,7 +187,7 @@ def _groups(known: Sides, a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b
 
 def align_texts(texts: list[str | None], known: Sides, every: int = LANE_TOKENS) -> dict[str, list | np.ndarray]:
     """For each text: n_a, n_b, n_groups, n_links, groups; its links (places of A and B tokens) and its distinct pairs with their number."""
-    encoded = [known.encode(t) if t else None for t in texts]
+    encoded = known.encode(texts)
     none = np.zeros(0, np.int64)
     a, b = (np.concatenate([none, *[e[side] for e in encoded if e]]).astype(np.int64) for side in (0, 1))
     n_a, n_b = (np.array([len(e[side]) if e else 0 for e in encoded], np.int64) for side in (0, 1))
