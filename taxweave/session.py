@@ -36,10 +36,10 @@ def build_session(app: str = "taxweave", master: str | None = None, **settings:
     return builder.getOrCreate()
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal out rows evenly, whatever the size of the scan and the splits of its
-    files. No key decides where a row goes, so a hot one is split too."""
-    return df.hint("rebalance")
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal out rows by a key, whatever the size of the scan and the splits of its files, so that later sums by the
+    key are combined before they are shuffled. Spark splits the partitions of hot keys."""
+    return df.hint("rebalance", key)
 
 
 def shared_folder(spark: SparkSession) -> str:
