@@ -256,3 +256,14 @@ def test_query_of_divergence_equals_sql(spark):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF_DIR}/documents.parquet'")
     expected = con.execute(queries.QUERIES["op13_source_divergence"][1]).fetchall()
     assert sorted(tuple(r) for r in queries.op13_source_divergence(spark, SF_DIR).collect()) == sorted(expected)
+
+
+def test_a_worker_gives_up_what_other_operators_kept():
+    from taxweave.llm import common, tokens
+
+    bpe.encoder(BYTE)
+    tokens.encoder(BYTE)
+    assert not bpe._encoders and tokens._encoders
+    bpe.encoder(BYTE)
+    common.begin("jaccard")
+    assert not bpe._encoders and not tokens._encoders

@@ -8,7 +8,7 @@ import numpy as np
 import public_tokenizers
 from brute import PATTERNS, groups, statistics, valid
 
-from taxweave.llm import grams, outliers, queries
+from taxweave.llm import grams, outliers, pii, queries
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -32,9 +32,14 @@ def test_stages(spark, tmp_path):
     steps.append([r for r, (i, _, c) in zip(steps[-1], groups(steps[-1])) if i == c])
     bare = lambda t: " " + " ".join(w for w in re.split(r"[^\w]+|_", (t or "").lower()) if w) + " "
     steps.append([(i, t) for i, t in steps[-1] if not any(bare(x) in bare(t) for x in items)])
+    # Base matches by the plain patterns, and the spans that the operator adds.
+    found = {r.row.doc_id: r.spans for r in pii.spans(spark.createDataFrame(steps[-1], "doc_id long, text string"), ["doc_id"]).collect()}
     hidden = []
     for i, t in steps[-1]:
-        spans = sorted((m.start(), -m.end(), k) for k, p in PATTERNS.items() for m in re.finditer(p, t) if valid(k, m[0]))
+        base = {(m.start(), -m.end(), k) for k, p in PATTERNS.items() for m in re.finditer(p, t) if valid(k, m[0])}
+        every = {(s.start, -s.end, pii.KINDS[s.kind]) for s in found[i]}
+        assert base == {(s.start, -s.end, pii.KINDS[s.kind]) for s in found[i] if s.base}
+        spans = sorted(every, key=lambda s: (s[0], s[1], pii.KINDS.index(s[2])))
         out, at = [], 0
         for a, b, k in spans:
             if a >= at:
