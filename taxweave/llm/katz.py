@@ -8,7 +8,7 @@ of the counts up to K + 1, or with b >= -1, is too small for either and takes of
 the discounts leave divided by 1 - sum of P(w | shorter h) over the words seen behind h, so all words
 sum to one. Single words back off to one unknown word, which gets what their discounts leave.
 
-N-grams are 64-bit hashes of lower-case words. Documents are dealt into blocks by the hash of their id.
+N-grams are 64-bit hashes of lower-case words. Documents are dealt into blocks by the hash of id and text, so rows without id, or many of one id, are spread.
 1. Each block counts its distinct n-grams; they are dealt into buckets by hash, sorted and packed.
 2. Each bucket adds up the blocks' counts, answers each block with the totals in the order of its n-grams, and
    names one block as owner of each n-gram. Answers are a table partitioned by order.
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from taxweave.llm import grams
 from taxweave.llm.common import settle
 
-ORDER = 2
+ORDER = 3
 K = 5  # counts up to K get Good-Turing discounts
 FIT = 40  # counts of counts that smoothing looks at
 LEAST_SEEN = 100  # n-grams of a count, for smoothing: an error of 10 % in n_r
@@ -257,7 +257,7 @@ def score(docs: DataFrame, train: Column, order: int = ORDER, block_bytes: int =
     size, documents = docs.agg(F.sum(F.octet_length("text")), F.count(F.when(train, 1))).first()
     blocks = max(1, math.ceil((size or 0) / block_bytes))
     base = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), "text", train.alias("train"), F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block")
+        F.col("doc_id").cast("long").alias("doc_id"), "text", train.alias("train"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block")
     )
     by_block = base.groupBy("block")
     counted = by_block.applyInArrow(_count(order, blocks), COUNTS)

@@ -1,6 +1,7 @@
 """Removing passages that recur: 35 words in a row that also start anywhere else.
 
-Documents are dealt into blocks of a few megabytes by the hash of their id.
+Documents are dealt into blocks of a few megabytes by the hash of id and text, so
+rows without id, or many of one id, are spread.
 1. Each window of WIDTH words is known by its anchor, the least hash of the runs of ANCHOR words in
    it. Equal windows have equal anchors, so a window whose anchor was picked at one place only can't recur.
 2. Windows with recurring anchors are counted over all blocks by their whole hash: these are confirmed.
@@ -104,7 +105,7 @@ def remove_recurring(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(size / BLOCK_BYTES))
     base = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block")
+        F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block")
     )
 
     def anchors(batches):

@@ -383,3 +383,22 @@ def test_hashes_follow_words():
         assert [names[w] for _, w in expected] == found.hash.tolist() and len(set(names.values())) == len(names)
     grams.SEGMENT = 1 << 21
     assert shingles("A b") == {(b"a", b"b")}
+
+
+@pytest.mark.parametrize("operator", ["katz", "passages"])
+def test_no_id_decides_a_block(spark, operator, monkeypatch):
+    """With a third of the rows without id, and a third of one id, no block is much larger than the others."""
+    texts = [f"{k} words of document {k * 7} and no more" for k in range(3000)]
+    rows = [(None if k % 3 == 0 else 5 if k % 3 == 1 else k, t) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sizes = {}
+    module = {"katz": model, "passages": passages}[operator]
+    size = sum(map(len, texts))
+    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(-(-size // 9000)))
+    sizes = sorted(r["count"] for r in docs.groupBy(block).count().collect())
+    assert sizes[-1] < 2 * sizes[len(sizes) // 2]
+    if operator == "katz":
+        assert model.score(docs, F.col("doc_id").isNull(), 2, block_bytes=9000).count() == 3000
+    else:
+        monkeypatch.setattr(module, "BLOCK_BYTES", 9000)
+        assert passages.remove_recurring(docs).count() == 3000
