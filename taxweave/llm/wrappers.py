@@ -1,14 +1,18 @@
 """Main text of web pages by wrappers: union-free regular expressions inferred from the pages of a host.
 
 A page is read as a stream of block tags and texts, balanced into a tree. In a wrapper a tree node has a
-label (tag and class), children in order, and two marks: repeated (it comes once or more) and optional.
+label (tag, classes and ids without digits, as those with digits are a page's own), children in order, and two marks: repeated (it
+comes once or more) and optional.
 - Siblings that repeat, alone or as a group of up to MAX_PERIOD, fold into one repeated node or group.
 - Two wrappers align child by child, by the longest common subsequence of labels. What both have is aligned in
-  turn, what one has alone becomes optional, and differing texts become slots.
+  turn, what one has alone becomes optional, and differing texts become slots. A slot remembers its most common text, by a
+  majority count that merges; where that is the same on nearly all pages of the host it is the template's text.
 Each task aligns the pages of a host it meets, then wrappers are aligned with each other, first within
 GROUPS parts of a host and then over the host, so a host with most of the pages is no single task's work.
 
-The finished wrapper names the element that holds the article and the parts of it that are none. A page is read
+The finished wrapper names the element that holds the article, the parts of it that are none, and the template's texts in it (of
+hosts of LEAST_PAGES pages or more; not where they are nearly all of the article, as on hosts of copies of one page). These rules, a few
+strings a host, are what pages are joined with. A page is read
 along its host's wrapper, or along its own if it has no such element; what stands outside the article, or in parts that
 are none, is left out. Parts that are none are known by their tag or a whole class name, but what holds most of the
 text outside links is kept whatever its name (comments are not), and so is what an article or main element stands in.
@@ -21,6 +25,7 @@ each for itself. Other columns are not looked at.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
@@ -29,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from taxweave.llm.common import pieces
+from taxweave.llm.common import pieces, settle
 
 MAX_PERIOD = 4
 GROUPS = 64
@@ -54,7 +59,19 @@ ARTICLE = set("article main".split())
 ARTICLE_HINTS = set("article content main post entry story maintext articlebody postbody entrycontent articlecontent postcontent maincontent".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
-_NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_NAMED = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+
+_DIGIT = re.compile(r"\d")
+#: A host's text is the template's if it is on nearly all of so many pages.
+LEAST_PAGES, NEARLY_ALL = 8, 0.8
+#: Rules of so many characters are sent to the tasks; more are joined by host.
+RULES_SENT = 32 << 20
+HOSTS_KEPT = 10_000
+
+
+def _mark(text: str) -> str:
+    """What stands for a line of text in a wrapper."""
+    return hashlib.blake2b(" ".join(text.split()).encode(), digest_size=8).hexdigest()
 
 
 def _stream(page: str):
@@ -85,7 +102,7 @@ def _stream(page: str):
                 yield "close", name, False
             else:
                 names = " ".join(a or b or c for a, b, c in _NAMED.findall(rest)) if rest else ""
-                yield "open", name + "".join("." + n for n in sorted(set(names.lower().split()))), False
+                yield "open", name + "".join("." + n for n in sorted(set(names.lower().split())) if not _DIGIT.search(n)), False
                 if name in VOID:
                     yield "close", name, False
 
@@ -134,7 +151,7 @@ def wrap(node: dict) -> dict:
     """A page's tree as a wrapper: texts become slots with their sizes, repeats are folded."""
     if node["t"] == "#":
         chars = sum(map(len, node["text"]))
-        return {"t": "#", "c": [], "rep": False, "opt": False, "chars": chars, "link": node["link"]}
+        return {"t": "#", "c": [], "rep": False, "opt": False, "chars": chars, "link": node["link"], "top": _mark("".join(node["text"])), "lead": 1}
     return {"t": node["t"], "c": fold([wrap(c) for c in node["c"]]), "rep": False, "opt": False, "chars": 0, "link": 0}
 
 
@@ -161,8 +178,13 @@ def fold(children: list[dict]) -> list[dict]:
 
 
 def align(a: dict, b: dict) -> dict:
-    """The wrapper of what both describe; their labels are equal."""
+    """The wrapper of what both describe; their labels are equal. At the root pages are counted."""
     marks = {"rep": a["rep"] or b["rep"], "opt": a["opt"] or b["opt"], "chars": a["chars"] + b["chars"], "link": a["link"] + b["link"]}
+    if "pages" in a and "pages" in b:
+        marks["pages"] = a["pages"] + b["pages"]
+    if a["t"] == "#":
+        marks["top"] = a["top"] if a["lead"] >= b["lead"] else b["top"]
+        marks["lead"] = a["lead"] + b["lead"] if a["top"] == b["top"] else abs(a["lead"] - b["lead"])
     return {"t": a["t"], "c": align_children(a["c"], b["c"])} | marks
 
 
@@ -237,11 +259,41 @@ def _size(node: dict, whole: int) -> int:
     return 0 if _dropped(node, whole) else sum(_size(c, whole) for c in node["c"])
 
 
-Rule = tuple[tuple[str, ...], frozenset[tuple[str, ...]]]
+#: Path of the article, paths of elements that are kept, and (path, mark) of the template's texts.
+Rule = tuple[tuple[str, ...], frozenset[tuple[str, ...]], frozenset[tuple[tuple[str, ...], str]]]
 
 
 def article_rule(wrapper: dict) -> Rule:
-    """Labels from the root to the element that holds the article, and the paths of elements that are kept whatever their names."""
+    """Labels from the root to the element that holds the article, the paths of elements that are kept whatever their
+    names, and the template's texts in the article."""
+    path, kept = _article(wrapper)
+    return path, kept, _template(wrapper, path, kept)
+
+
+def _template(wrapper: dict, path: tuple[str, ...], kept: frozenset) -> frozenset:
+    """(path, mark) of texts in the article that nearly all pages of the host have."""
+    pages, found, chars, whole = wrapper.get("pages", 1), set(), 0, 0
+
+    def look(node, at):
+        nonlocal chars, whole
+        for child in node["c"]:
+            if child["t"] == "#":
+                if at[: len(path)] == path:
+                    whole += child["chars"]
+                    if child["lead"] >= NEARLY_ALL * pages:
+                        found.add((at, child["top"]))
+                        chars += child["chars"]
+            elif child["t"] == "()":
+                look(child, at)
+            elif len(at) < len(path) or not _is_none(child["t"]) or (*at, child["t"]) in kept:
+                look(child, (*at, child["t"]))
+
+    if pages >= LEAST_PAGES:
+        look(wrapper, ())
+    return frozenset(found) if chars <= NEARLY_ALL * whole else frozenset()
+
+
+def _article(wrapper: dict) -> tuple[tuple[str, ...], frozenset[tuple[str, ...]]]:
     whole = _weigh(wrapper)
     named: list[tuple[int, int, tuple[str, ...]]] = []
     hidden: list[tuple[int, int, tuple[str, ...]]] = []  # article and main elements in what is dropped by its class
@@ -287,14 +339,14 @@ def extract(page: str, rule: Rule) -> str:
 
 
 def _read(root: dict, rule: Rule) -> list[str]:
-    path, kept = rule
+    path, kept, template = rule
     lines: list[str] = []
 
     def read(node, at):
         for child in node["c"]:
             if child["t"] == "#":
                 line = " ".join("".join(child["text"]).split())
-                if line:
+                if line and not (template and (at, _mark(line)) in template):
                     lines.append(line)
             elif not _is_none(child["t"]) or (*at, child["t"]) in kept:
                 read(child, (*at, child["t"]))
@@ -325,14 +377,14 @@ def infer(pages: DataFrame) -> DataFrame:
         known: dict[str, dict] = {}
         for batch in batches:
             for host, page in zip(batch.column("host").to_pylist(), batch.column("html")):
-                new = wrap(tree(page.as_py() or ""))
+                new = wrap(tree(page.as_py() or "")) | {"pages": 1}
                 known[host] = align(known[host], new) if host in known else new
         hosts, trees = list(known), [json.dumps(w) for w in known.values()]
         yield pa.record_batch([pa.array(hosts, pa.string()), pa.array([task % GROUPS] * len(hosts), pa.int32()), pa.array(trees, pa.string())], ["host", "part", "wrapper"])
 
     def together(key, table):
         wrapper = None
-        for text in sorted(set(table.column("wrapper").to_pylist())):
+        for text in sorted(table.column("wrapper").to_pylist()):
             wrapper = align(wrapper, json.loads(text)) if wrapper else json.loads(text)
         return pa.table([[key[0].as_py()], pa.array([key[-1].as_py() if len(key) > 1 else 0], pa.int32()), [json.dumps(wrapper)]], ["host", "part", "wrapper"])
 
@@ -342,19 +394,44 @@ def infer(pages: DataFrame) -> DataFrame:
     return parts.groupBy("host").applyInArrow(together, kind).select("host", "wrapper")
 
 
+def rules(wrappers: DataFrame) -> DataFrame:
+    """host, rule (as JSON): what a page of the host is read by."""
+
+    def made(batches):
+        for batch in batches:
+            out = []
+            for text in batch.column("wrapper"):
+                path, kept, template = article_rule(json.loads(text.as_py()))
+                out.append(json.dumps([path, sorted(kept), sorted(template)]))
+            yield pa.record_batch([batch.column("host"), pa.array(out, pa.string())], ["host", "rule"])
+
+    return wrappers.mapInArrow(made, "host string, rule string")
+
+
+def _rule(text: str | None) -> Rule:
+    if text is None:
+        return (), frozenset(), frozenset()
+    path, kept, template = json.loads(text)
+    return tuple(path), frozenset(map(tuple, kept)), frozenset((tuple(at), mark) for at, mark in template)
+
+
 def main_text(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
     """page_id, url, text of every page."""
 
     def texts(batches):
-        rules: dict[str, Rule] = {}
+        known: dict[str, Rule] = {}
         for batch in batches:
             for some in pieces(batch, "html"):
                 out = []
-                for page, host, wrapper in zip(some.column("html"), some.column("host").to_pylist(), some.column("wrapper")):
-                    if host not in rules:
-                        rules[host] = article_rule(json.loads(wrapper.as_py())) if wrapper.is_valid else ((), frozenset())
-                    out.append(extract(page.as_py() or "", rules[host]))
+                for page, host, rule in zip(some.column("html"), some.column("host").to_pylist(), some.column("rule")):
+                    if host not in known:
+                        if len(known) > HOSTS_KEPT:
+                            known.clear()
+                        known[host] = _rule(rule.as_py())
+                    out.append(extract(page.as_py() or "", known[host]))
                 yield pa.record_batch([some.column("page_id"), some.column("url"), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", _host().alias("host"))
-    return rows.join(wrappers, "host", "left").mapInArrow(texts, "page_id long, url string, text string")
+    of_hosts = settle(rules(wrappers), "rules")
+    small = (of_hosts.agg(F.sum(F.length("host") + F.length("rule"))).first()[0] or 0) <= RULES_SENT
+    return rows.join(F.broadcast(of_hosts) if small else of_hosts, "host", "left").mapInArrow(texts, "page_id long, url string, text string")

@@ -84,3 +84,62 @@ def test_text_behind_deep_elements_stays_in_order():
 def test_comments_stay_out_however_long():
     page = "<div class=content><p>Short.</p><section class=comments><article class=comment>" + "long " * 50 + "</article></section></div>"
     assert wrappers.extract(page, wrappers.article_rule(wrappers.wrap(wrappers.tree(page)))) == "Short."
+
+
+def pages_of(spark, bodies, host="h.example"):
+    rows = [(k, f"http://{host}/{k}", f"<html><body>{b}</body></html>") for k, b in enumerate(bodies)]
+    return spark.createDataFrame(rows, "page_id long, url string, html string")
+
+
+def texts_of(pages):
+    return [r.text for r in wrappers.main_text(pages, wrappers.infer(pages)).orderBy("page_id").collect()]
+
+
+def test_texts_of_all_pages_are_the_template(spark):
+    """A notice and an advert that no name tells stay out, in any class; a line that only some pages share stays."""
+    body = "<article><p class=x>Please read our terms.</p><h1>Title {0}</h1><p>Text number {0} of this host.</p>{1}<div class=zone>Buy our things today</div></article>"
+    bodies = [body.format(k, "<p>Some say this.</p>" if k % 3 == 0 else "") for k in range(20)]
+    bodies[7] = bodies[7].replace("Please read our terms.", "Please read our new terms.")
+    got = texts_of(pages_of(spark, bodies))
+    expected = [f"Title {k}\nText number {k} of this host." + ("\nSome say this." if k % 3 == 0 else "") for k in range(20)]
+    expected[7] = "Please read our new terms.\n" + expected[7]
+    assert got == expected
+
+
+def test_few_pages_and_copies_of_one_page_have_no_template(spark):
+    few = ["<article><p>Same line here.</p><p>And text {}</p></article>".format(k) for k in range(5)]
+    assert texts_of(pages_of(spark, few)) == [f"Same line here.\nAnd text {k}" for k in range(5)]
+    copies = ["<article><h1>One</h1><p>The same article on every page of a host.</p></article>"] * 30
+    assert set(texts_of(pages_of(spark, copies))) == {"One\nThe same article on every page of a host."}
+
+
+def test_own_ids_and_numbers_are_no_labels(spark):
+    body = "<div data-id={0} class='row col-6'><article id=post-{0} class='post-{0} entry'><p>Text {0}</p></article></div><div id=box{0}>x</div>"
+    pages = pages_of(spark, [body.format(k) for k in range(40)])
+    wrapper = wrappers.infer(pages).collect()
+    assert len(wrapper) == 1 and wrappers.expression(__import__("json").loads(wrapper[0].wrapper)).count("<article") == 1
+    assert texts_of(pages) == [f"Text {k}" for k in range(40)]
+    assert wrappers.tree("<div data-class='ad' class=main9>x")["c"][0]["t"] == "div"
+
+
+def test_a_large_host_takes_linear_time(spark):
+    import time
+
+    page = "<div data-id={0}><article id=post-{0}><h1>T{0}</h1>" + "<p>text</p>" * 5 + "</article></div>"
+
+    def seconds(n):
+        known, began = None, time.process_time()
+        for k in range(n):
+            new = wrappers.wrap(wrappers.tree(page.replace("{0}", str(k)))) | {"pages": 1}
+            known = wrappers.align(known, new) if known else new
+        return time.process_time() - began
+
+    seconds(200)
+    assert seconds(2000) < 20 * max(0.01, seconds(200))
+
+
+def test_many_rules_are_joined(spark, monkeypatch):
+    pages = spark.read.parquet(f"{SF_DIR}/pages.parquet").limit(60)
+    sent = texts_of(pages)
+    monkeypatch.setattr(wrappers, "RULES_SENT", -1)
+    assert texts_of(pages) == sent
