@@ -136,11 +136,34 @@ SELECT * FROM (
   SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM found)
 WHERE part = 'pair' OR rank <= 50"""
 
+_WORDS = r"[^\x20\x09-\x0D]+"
+_NEAR = rf"""WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{_WORDS}') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) END) AS g FROM d),
+n AS (SELECT d.doc_id, count(g) AS n FROM d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY d.doc_id),
+pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM pair JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a)
+SELECT doc_id, n AS n_shingles, component_id FROM n JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)"""
+
+_REPEATED = rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS w FROM documents),
+v AS (SELECT r, unnest(range(1, len(w) - 33)) AS i, w FROM d WHERE len(w) >= 35),
+x AS (SELECT r, i, array_to_string(w[i : i + 34], ' ') AS g FROM v),
+twice AS (SELECT r, i FROM x WHERE g IN (SELECT g FROM x GROUP BY g HAVING count(*) > 1)),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS p FROM twice),
+k AS (
+  SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS kept
+  FROM (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d) a ANTI JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (r)"""
+
 QUERIES = {
     "op1_katz_backoff": (op1_katz_backoff, None),
-    "op2_jaccard_join": (op2_jaccard_join, None),
+    "op2_jaccard_join": (op2_jaccard_join, _NEAR),
     "op3_toxic_clauses": (op3_toxic_clauses, None),
-    "op4_repeated_passages": (op4_repeated_passages, None),
+    "op4_repeated_passages": (op4_repeated_passages, _REPEATED),
     "op5_page_wrappers": (op5_page_wrappers, None),
     "op6_weak_supervision": (op6_weak_supervision, None),
     "op7_string_tiling": (op7_string_tiling, None),

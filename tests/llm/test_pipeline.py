@@ -1,6 +1,7 @@
 """The pipeline against its stages by plain loops, and the registered queries."""
 
 import re
+from pathlib import Path
 
 import __spark_entry__ as contract
 import corpus_pipeline
@@ -66,3 +67,25 @@ def test_bare_words_are_cut_at_marks():
 
     found = [grams.hashed_words(*grams.buffer(pa.array([t])), grams.BARE).hash for t in ("It's (A) test-case.", "it s a TEST case")]
     assert np.array_equal(*found)
+
+
+#: Queries that SQL can't express, and the tests that hold them against plain loops, the libraries or held-out rows.
+WITHOUT_SQL = {
+    "op1_katz_backoff": "test_katz",
+    "op3_toxic_clauses": "test_toxicity_on_held_out_rows",
+    "op5_page_wrappers": "test_articles_of_the_tables",
+    "op6_weak_supervision": "test_personal_data",
+    "op7_string_tiling": "test_reordered_items_are_caught",
+    "op8_robust_outliers": "test_outliers_like_numpy",
+    "op9_best_fit_packing": "test_packing",
+    "op10_token_files": "test_token_files",
+    "op11_prefix_trie": "test_query_of_encoding",
+    "op12_lockstep_alignment": "test_aligned_table",
+}
+
+
+def test_every_query_has_sql_or_a_plain_version():
+    tests = "".join(p.read_text() for p in Path(__file__).parent.glob("test_*.py"))
+    without = {name for name, (_, statement) in queries.QUERIES.items() if not statement}
+    assert without == WITHOUT_SQL.keys()
+    assert all(f"def {test}(" in tests for test in WITHOUT_SQL.values())
