@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import gc
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,9 +15,21 @@ from taxweave.session import fresh_folder
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATORS = "[\\x20\\x09-\\x0D]+"
 #: Arrow batches are taken apart into pieces of so many bytes of text (a longer text is its own piece).
-PIECE_BYTES = 1 << 21
+PIECE_BYTES = 1 << 20
 
 _settled: dict[str, list[str]] = {}
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def begin(operator: str, forget: Callable[[], None] | None = None) -> None:
+    """What an operator's function calls in a Python worker when it begins, and how it gives up what it keeps there.
+
+    Spark uses a worker again for later stages, so what other operators have kept goes now.
+    """
+    for other in [o for o in _kept if o != operator]:
+        _kept.pop(other)()
+    if forget is not None:
+        _kept[operator] = forget
 
 
 def settle(df: DataFrame, name: str, partition_by: str | None = None, large: bool = False) -> DataFrame:

@@ -14,7 +14,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BASE, WORD_BASE = np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xD6E8FEB86659FD93)
-SEGMENT = 1 << 21
+#: Bytes that are hashed at once, and the length of the kept tables of powers.
+SEGMENT = 1 << 18
 _powers: dict[tuple[int, bool], np.ndarray] = {}
 
 

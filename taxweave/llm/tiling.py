@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from taxweave.llm import grams
-from taxweave.llm.common import pieces
+from taxweave.llm.common import begin, pieces
 
 MIN_MATCH = 5
 COVERAGE = 0.5
@@ -124,6 +124,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, column: str, width: int = MIN_MA
         shared = docs.sparkSession.sparkContext.broadcast(rows)
 
         def marked(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            begin("tiling")
             items = Items(shared.value, width)
             for batch in batches:
                 for some in pieces(batch, "text"):

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from taxweave.llm.common import begin
+
 MEMO_ENTRIES = 700_000
 SLICE_CHARS = 1 << 20
 #: At the end of a part, and never one token with the letters before them.
@@ -112,6 +114,7 @@ _encoders: dict[str, Encoder] = {}
 
 def encoder(path: str) -> Encoder:
     """One encoder for each Python worker."""
+    begin("tokens", _encoders.clear)
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
