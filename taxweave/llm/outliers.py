@@ -2,8 +2,12 @@
 
 For each language and source the center and spread of the documents' transformed statistics are estimated from the
 75 % of documents that lie closest together: from medians and median deviations on, each step keeps the
-documents below the 75 % quantile of the distances and takes their means and covariances. A document is
-rejected when its squared Mahalanobis distance exceeds CUTOFF, or by the two fixed rules.
+documents below the 75 % quantile of the distances and takes their means and covariances. These are
+regularised as in the minimum regularised covariance determinant: S becomes (1 - SHRINK) S + SHRINK T, T being the diagonal
+of the variances over all documents of the language. So a statistic that is the same in the core of a source, as
+the share of repeated lines often is, is measured by how much it varies in the language, and a source where nothing varies
+isn't singular. A document is rejected when its squared Mahalanobis distance exceeds the chi-square quantile of
+the statistics that vary in the language (CUTOFFS), or by the two fixed rules.
 
 Documents that fail a fixed rule take no part in the estimates. Sources with less than LEAST_ROWS
 documents of a language are pooled, then small pools of languages; a pool that is still smaller rejects nothing. Quantiles
@@ -33,16 +37,17 @@ KEPT_SHARE, STEPS, LEAST_ROWS = 0.75, 3, 50
 POOLS_SENT = 20_000
 #: For 5 statistics: 0.75 / P(chi-square with 7 degrees <= 75 % quantile of that with 5).
 CONSISTENCY = 1.412
-#: Tail of 1e-6 of the chi-square distribution with 5 degrees of freedom.
-CUTOFF = 35.9
-#: name: (transformed statistic, spread that is always allowed). Many sources have no symbol or no
-#: repeated line at all, and one such line must not make an outlier there.
+#: Part of the language's variances in a pool's covariances.
+SHRINK = 0.25
+#: Tails of 1e-6 of the chi-square distributions with 0 to 5 degrees of freedom.
+CUTOFFS = [0.0, 23.93, 27.63, 30.66, 33.38, 35.89]
+#: The transformed statistics.
 FEATURES = {
-    "long": ("ln(1 + n_words)", 0.5),
-    "wide": ("ln(word_chars / n_words)", 0.2),
-    "symbols": ("ln(1 + 100 * n_symbols / word_chars)", 0.4),
-    "lines": ("ln(1 + 10 * n_dup_lines / n_lines)", 0.4),
-    "repeats": ("ln(1 + 10 * n_repeat_words / n_words)", 0.4),
+    "long": "ln(1 + n_words)",
+    "wide": "ln(word_chars / n_words)",
+    "symbols": "ln(1 + 100 * n_symbols / word_chars)",
+    "lines": "ln(1 + 10 * n_dup_lines / n_lines)",
+    "repeats": "ln(1 + 10 * n_repeat_words / n_words)",
 }
 NAMES = list(FEATURES)
 
@@ -124,52 +129,60 @@ def _with_distance(points: DataFrame, estimates: DataFrame) -> DataFrame:
     keys = [(i, k) for i in range(len(NAMES)) for k in range(i + 1)]
     joined = points.join(_sent(_factored(estimates)), "pool", "left")
     distance = _distance([F.col(f"m_{i}") for i in range(len(NAMES))], {(i, k): F.col(f"l_{i}_{k}") for i, k in keys})
-    return joined.select(*points.columns, distance.alias("d2"))
+    return joined.select(*points.columns, "cutoff", distance.alias("d2"))
 
 
-def _start(points: DataFrame) -> DataFrame:
+def _targets(points: DataFrame, pools: DataFrame) -> DataFrame:
+    """For each pool the variances t_i over its languages' documents, and the cutoff for those that aren't 0."""
+    spread = points.groupBy("lang").agg(*[F.var_pop(n).alias(f"t_{i}") for i, n in enumerate(NAMES)])
+    of = pools.select("pool", "lang").distinct().alias("p").join(spread.alias("s"), F.col("p.lang").eqNullSafe(F.col("s.lang")))
+    targets = of.groupBy("pool").agg(*[F.avg(f"t_{i}").alias(f"t_{i}") for i in range(len(NAMES))])
+    varying = reduce(lambda a, i: a + (F.col(f"t_{i}") > 0).cast("int"), range(len(NAMES)), F.lit(1))
+    return targets.withColumn("cutoff", F.element_at(F.array(*map(F.lit, CUTOFFS)), varying))
+
+
+def _start(points: DataFrame, targets: DataFrame) -> DataFrame:
     """Medians and median deviations of each pool, as centers and a diagonal covariance."""
     median = lambda c: F.percentile_approx(c, 0.5, 1000)
     centers = points.groupBy("pool").agg(*[median(n).alias(f"m_{i}") for i, n in enumerate(NAMES)])
     off = points.join(_sent(settle(centers, "centers")), "pool").groupBy("pool", *[f"m_{i}" for i in range(len(NAMES))])
     spread = off.agg(*[median(F.abs(F.col(n) - F.col(f"m_{i}"))).alias(f"mad_{i}") for i, n in enumerate(NAMES)])
-    squares = [(F.pow(1.4826 * F.col(f"mad_{i}"), 2) + FEATURES[n][1] ** 2).alias(f"s_{i}_{i}") for i, n in enumerate(NAMES)]
+    squares = [((1 - SHRINK) * F.pow(1.4826 * F.col(f"mad_{i}"), 2) + SHRINK * F.col(f"t_{i}")).alias(f"s_{i}_{i}") for i in range(len(NAMES))]
     zeros = [F.lit(0.0).alias(f"s_{i}_{k}") for i in range(len(NAMES)) for k in range(i)]
-    return spread.select("pool", *[f"m_{i}" for i in range(len(NAMES))], *squares, *zeros)
+    return spread.join(targets, "pool").select("pool", "cutoff", *[f"m_{i}" for i in range(len(NAMES))], *squares, *zeros)
 
 
-def _step(points: DataFrame, estimates: DataFrame) -> DataFrame:
+def _step(points: DataFrame, estimates: DataFrame, targets: DataFrame) -> DataFrame:
     """Means and covariances of the closest 75 % under the estimates so far."""
     far = _with_distance(points, estimates)
     limits = far.groupBy("pool").agg(F.percentile_approx("d2", KEPT_SHARE, 1000).alias("limit"))
     close = far.join(_sent(settle(limits, "limits")), "pool").filter(F.col("d2") <= F.col("limit")).groupBy("pool")
     means = [F.avg(n).alias(f"m_{i}") for i, n in enumerate(NAMES)]
-    spreads = []
-    for i, a in enumerate(NAMES):
-        for k, b in enumerate(NAMES[: i + 1]):
-            allowed = FEATURES[a][1] ** 2 if i == k else 0.0
-            spreads.append((CONSISTENCY * F.covar_pop(a, b) + allowed).alias(f"s_{i}_{k}"))
-    return close.agg(*means, *spreads)
+    pairs = [(i, k) for i in range(len(NAMES)) for k in range(i + 1)]
+    spreads = [((1 - SHRINK) * CONSISTENCY * F.covar_pop(NAMES[i], NAMES[k])).alias(f"c_{i}_{k}") for i, k in pairs]
+    regular = [(F.col(f"c_{i}_{k}") + (SHRINK * F.col(f"t_{i}") if i == k else 0.0)).alias(f"s_{i}_{k}") for i, k in pairs]
+    names = [f"m_{i}" for i in range(len(NAMES))]
+    return close.agg(*means, *spreads).join(targets, "pool").select("pool", "cutoff", *names, *regular)
 
 
 def assess(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """`row`, the statistics, base_failed, d2 (null for base_failed and small pools) and kept."""
     base_failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
     stats = settle(statistics(docs, columns).withColumn("base_failed", base_failed), "statistics")
-    values = [F.when(~F.col("base_failed"), F.expr(f)).alias(n) for n, (f, _) in FEATURES.items()]
+    values = [F.when(~F.col("base_failed"), F.expr(f)).alias(n) for n, f in FEATURES.items()]
     passed = stats.filter(~F.col("base_failed"))
     pools = settle(_pools(passed), "pools")
     on = F.col("a.lang").eqNullSafe(F.col("p.lang")) & F.col("a.source").eqNullSafe(F.col("p.source"))
-    points = passed.alias("a").join(pools.alias("p"), on).select("pool", *values)
-    points = settle(points, "points")
-    estimates = settle(_start(points), "estimates")
+    points = settle(passed.alias("a").join(pools.alias("p"), on).select("a.lang", "pool", *values), "points")
+    targets = settle(_targets(points, pools), "targets")
+    estimates = settle(_start(points, targets), "estimates")
     for _ in range(STEPS):
-        estimates = settle(_step(points, estimates), "estimates")
+        estimates = settle(_step(points, estimates, targets), "estimates")
     large = points.groupBy("pool").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_ROWS).select("pool")
     estimates = settle(estimates.join(large, "pool"), "estimates")
     every = stats.alias("a").join(pools.alias("p"), on, "left").select("a.*", "pool", *values)
-    found = _with_distance(every, estimates).drop("pool", *NAMES)
-    return found.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("d2") <= CUTOFF, F.lit(True)))
+    found = _with_distance(every, estimates)
+    return found.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("d2") <= F.col("cutoff"), F.lit(True))).drop("pool", "cutoff", *NAMES)
 
 
 def keep(docs: DataFrame) -> DataFrame:
