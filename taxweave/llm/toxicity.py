@@ -201,12 +201,13 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """From texts of docs (doc_id, text) with labels (doc_id, toxic).
 
     Of each class the `sample` ids of least hash are taken, so that no more than these
-    are sent to where the texts are, and the texts are never moved to be chosen.
+    are sent to where the texts are, and only the chosen texts are moved. Of an id's rows the greatest text counts.
     """
     known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     chosen = [known.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (1, 0)]
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen[0].union(chosen[1])), "doc_id").select("text", "toxic")
-    rows = settle(rows, "labelled")
+    every = docs.select("doc_id", "text").join(F.broadcast(chosen[0].union(chosen[1])), "doc_id")
+    # One text an id, however many rows it has; equal ids are combined in the tasks that read them.
+    rows = settle(every.groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic"), "labelled")
     counts = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = counts.get(1, 0), counts.get(0, 0)
     if not n_toxic or not n_clean:

@@ -13,6 +13,7 @@ from taxweave.llm import common, graph, grams, jaccard, outliers, packing, passa
 from taxweave.llm import katz as model
 from taxweave.session import fresh_folder
 
+SF_DIR = "/root/testdata/sf0.001"
 WORD, BYTE = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json"))
 
 
@@ -402,3 +403,25 @@ def test_no_id_decides_a_block(spark, operator, monkeypatch):
     else:
         monkeypatch.setattr(module, "BLOCK_BYTES", 9000)
         assert passages.remove_recurring(docs).count() == 3000
+
+
+def test_one_labelled_id_with_many_rows_is_one_text(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{SF_DIR}/labels.parquet")
+    one = labels.select("doc_id").join(docs, "doc_id").limit(1)
+    seen, lexicon = [], toxicity._lexicon
+    monkeypatch.setattr(toxicity, "_lexicon", lambda toxic, clean, n, m: seen.append((n, m)) or lexicon(toxic, clean, n, m))
+    plain, repeated = toxicity.learn(docs, labels), toxicity.learn(docs.union(one.crossJoin(spark.range(500)).select("doc_id", "text")), labels)
+    assert seen[0] == seen[1] and plain.weights == pytest.approx(repeated.weights)
+
+
+def test_token_files_of_one_id(spark):
+    """Rows of one id, or of none, are dealt over the files."""
+    rows = [(None if k % 3 == 0 else 7, f"some words of text {k}") for k in range(900)]
+    folder = fresh_folder(spark, "tokens")
+    token_files.write(spark.createDataFrame(rows, "doc_id long, text string"), folder, BYTE)
+    parts = {r.part: r.n for r in spark.read.parquet(f"{folder}/blocks").groupBy("part").agg(F.sum("ids").alias("n")).collect()}
+    assert len(parts) >= 3 and max(parts.values()) < 0.6 * sum(parts.values())
+    read = token_files.read(spark, folder).orderBy("start").collect()
+    assert [r.doc_id for r in read] == [None] * 300 + [7] * 600
+    assert [r.start for r in read] == [0, *np.cumsum([r.n_tokens for r in read])[:-1].tolist()]
