@@ -102,7 +102,9 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0) -> None
             yield block()
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = tokens.texts_of(docs).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    # The texts' hash is part of the range, so rows without id, or many of one id, aren't one task's.
+    by = ["doc_id", F.xxhash64("text")]
+    ordered = tokens.texts_of(docs).repartitionByRange(parts, *by).sortWithinPartitions(*by)
     ordered.mapInArrow(blocks, BLOCKS).write.parquet(f"{folder}/blocks")
 
 
