@@ -86,14 +86,16 @@ def complete_months(months: VatMonths, selection: DataFrame, manifest: DataFrame
     return VatMonths(sales, fees, returns.vat_return(sales, fees)), missing
 
 
-def file_returns(months: VatMonths, path: str, refiled: DataFrame | None = None) -> DataFrame:
+def file_returns(months: VatMonths, path: str, refiled: DataFrame | None = None, choose: bool = False) -> DataFrame:
     """Write both ledgers and the receipt manifest below `path` and compute the
     returns from what was written, so lines and texts are read once.
 
     Filed are the taxpayers and months that either side has rows of, and those
     of `refiled` (taxpayer_id, year, month), whose earlier rows go even where nothing
-    comes instead. Other taxpayers' and months' rows stay. Returns what was filed.
+    comes instead. Other taxpayers' and months' rows stay. With `choose`, periods whose tax id is still to be
+    chosen (`open_choices`) aren't filed. Returns what was filed.
     """
+    months = gated(months) if choose else months
     spark = months.sales.sparkSession
     unit = ["taxpayer_id", "year", "month"]
     with settling(spark) as keep:

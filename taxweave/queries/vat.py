@@ -116,6 +116,12 @@ def filed_returns(spark, sf_dir):
     return _filed(spark, sf_dir)[1]
 
 
+def filed_returns_of_one_tax_id(spark, sf_dir):
+    """Filed are the periods whose invoices name one tax id at most."""
+    months = vat.vat_months(fx.canonical_lines(spark, sf_dir), _docs(spark, sf_dir))
+    return vat.file_returns(months, fresh_folder(spark, "ledgers"), choose=True)
+
+
 def vat_return(spark, sf_dir):
     return vat.vat_months(fx.canonical_lines(spark, sf_dir), _docs(spark, sf_dir)).summary
 
@@ -283,6 +289,10 @@ UNION ALL SELECT {SOURCE}, year, month, 'fee' AS side, NULL AS order_no, doc_num
         sql(_RETURN.format(sales=_ONE_ID.format(side="sales"), fees=_ONE_ID.format(side="purchases")), "sales", "purchases"),
     ),
     "purchases_of_landed_documents": (purchases_of_landed_documents, sql(f"SELECT {PURCHASE} FROM purchases", "purchases")),
+    "filed_returns_of_one_tax_id": (
+        filed_returns_of_one_tax_id,
+        sql(_RETURN.format(sales=_ONE_ID.format(side="sales"), fees=_ONE_ID.format(side="purchases")), "sales", "purchases"),
+    ),
     "vat_return_complete": (
         vat_return_complete,
         sql(_RETURN.format(sales=_WHOLE, fees=_WHOLE), "sales", "purchases", "selection", "monthly"),
