@@ -17,10 +17,12 @@ from pyspark.sql import types as T
 from taxweave.operators import daily, lines
 from taxweave.rules import AMBER_SATANG, THRESHOLD_SATANG
 from taxweave.session import settling
-from taxweave.sinks.reports import RANGES, taxpayer_range
+from taxweave.sinks.reports import taxpayer_range
 from taxweave.sinks.versions import Conflict, State, Versions
 
 LANDED = "landed"
+#: Taxpayer ranges of a year, unless the first update says otherwise: a year has 366 rows a taxpayer at most.
+RANGES = 8
 
 
 def _schema(landed: DataFrame) -> T.StructType:

@@ -20,8 +20,8 @@ from taxweave.operators.lines import SOURCE
 from taxweave.session import settling
 from taxweave.sinks.versions import Conflict, Versions
 
-#: Taxpayer ranges of a folder, unless the table's first writer says otherwise.
-RANGES = 8
+#: Taxpayer ranges of a folder are as many as give this many rows each at the first write, unless its writer names a number.
+ROWS_OF_RANGE, MOST_RANGES = 1_000_000, 4096
 
 
 def read_written(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet") -> DataFrame:
@@ -31,6 +31,11 @@ def read_written(spark: SparkSession, path: str, schema: StructType, fmt: str =
     return spark.createDataFrame([], schema) if rows is None else rows
 
 
+def _fitting(rows: DataFrame, folders: list[str]) -> int:
+    largest = rows.groupBy(*folders).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    return min(MOST_RANGES, max(1, -(-largest // ROWS_OF_RANGE)))
+
+
 def taxpayer_range(ranges: int) -> Column:
     return F.pmod(F.xxhash64(F.col("taxpayer_id").cast("string")), F.lit(ranges)).alias("range")
 
@@ -40,7 +45,7 @@ def _unit(folders: list[str], row: Row) -> str:
 
 
 def _write_sorted(
-    df: DataFrame, path: str, folders: list[str], order: list[str], fmt: str, run: DataFrame | None = None, ranges: int = RANGES, tries: int = 5
+    df: DataFrame, path: str, folders: list[str], order: list[str], fmt: str, run: DataFrame | None = None, ranges: int | None = None, tries: int = 5
 ) -> None:
     """Replace the rows of the run's taxpayers in the run's folders; all other rows stay.
 
@@ -57,7 +62,8 @@ def _write_sorted(
         touched = keep((new if run is None else new.select(*unit).union(run.select(*unit))).select(*unit).distinct(), "touched")
         for attempt in range(tries):
             seen = table.state()
-            ranges = int(seen.notes.get("ranges", ranges))
+            noted = seen.notes.get("ranges")
+            ranges = int(noted) if noted else ranges or _fitting(new, folders)
             place = taxpayer_range(ranges)
             # At most one row for each folder and range.
             units = [_unit(folders, r) for r in touched.select(*folders, place).distinct().collect()]
@@ -84,21 +90,21 @@ def _write_sorted(
                     raise
 
 
-def write_daily_sales(report: DataFrame, path: str, fmt: str = "parquet", ranges: int = RANGES) -> None:
+def write_daily_sales(report: DataFrame, path: str, fmt: str = "parquet", ranges: int | None = None) -> None:
     """The daily report with sum and running total, by year. A
     year of the report's taxpayers is replaced as a whole; other years and taxpayers stay."""
     _write_sorted(report, path, ["year"], ["taxpayer_id", "date"], fmt, ranges=ranges)
 
 
 def write_tax_ledgers(
-    sales: DataFrame, purchases: DataFrame, path: str, fmt: str = "parquet", run: DataFrame | None = None, ranges: int = RANGES
+    sales: DataFrame, purchases: DataFrame, path: str, fmt: str = "parquet", run: DataFrame | None = None, ranges: int | None = None
 ) -> None:
     """Output-tax and input-tax reports, by year and month."""
     _write_sorted(sales, f"{path}/sales", ["year", "month"], [*SOURCE, "order_date", "order_no"], fmt, run, ranges)
     _write_sorted(purchases, f"{path}/purchases", ["year", "month"], [*SOURCE, "doc_date", "doc_num"], fmt, run, ranges)
 
 
-def write_receipts(invoices: DataFrame, path: str, fmt: str = "parquet", run: DataFrame | None = None, ranges: int = RANGES) -> None:
+def write_receipts(invoices: DataFrame, path: str, fmt: str = "parquet", run: DataFrame | None = None, ranges: int | None = None) -> None:
     """The receipt manifest, by year and month."""
     order = ["taxpayer_id", "bundle", "doc_date", "doc_num", "file_name"]
     _write_sorted(_receipts(invoices), path, ["year", "month"], order, fmt, run, ranges)
