@@ -18,7 +18,8 @@ N-grams are 64-bit hashes of lower-case words. Documents are dealt into blocks b
 A frequent n-gram is one entry of a block, whatever it occurs, and no task holds more than a bucket or a block.
 
 Null and empty texts are the end token alone. Rows without doc_id train by the hash of the empty text. Repeated rows are
-documents each for itself. Without training tokens all probability is the unknown word's. Other columns are not looked at.
+documents each for itself. Without training tokens all probability is the unknown word's. Texts of any length are scored whole, as part of
+one block. An empty table gives no rows. Other columns are not looked at.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ documents of a language are pooled, then small pools of languages; a pool that i
 come from a sketch (percentile_approx), means and covariances from all rows; every group is pre-aggregated.
 
 Only DataFrame functions are used. Null and empty texts have no words and fail the first rule. Null languages
-and sources are values of their own. Repeated rows are assessed each for itself. Other columns pass through;
+and sources are values of their own. Repeated rows are assessed each for itself. Texts of any length are read whole; a distance of exactly
+the cutoff (a tie) is kept; an empty table gives no rows. Other columns pass through;
 columns of the same names as the statistics are kept apart in a struct.
 """
 

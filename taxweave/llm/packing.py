@@ -5,7 +5,8 @@ has at most `capacity` entries however many documents there are. Each piece then
 rank among the pieces of its length: counters of the writing task give the rank inside a task's
 output, and a sum over tasks for each length gives what lies before it. No piece is sorted or moved to be placed.
 
-Null texts are empty documents and still hold the end id; repeated rows are packed each for itself;
+Null texts are empty documents and still hold the end id; repeated rows are packed each for itself; texts of any length are cut
+into pieces; pieces of equal length (ties) are placed in the order they were written;
 an empty table gives no rows. Other columns of the input are not looked at.
 """
 

@@ -12,7 +12,8 @@ A passage that half of all documents share is one row for each block in the coun
 meets another one.
 
 Null and empty texts have no words and keep the empty text. Repeated rows are different places, so
-they remove each other's words. Other columns of the input are not looked at.
+they remove each other's words; of equal passages none is kept as the first (a tie). Texts of any length are read whole, as
+part of one block. An empty table gives no rows. Other columns of the input are not looked at.
 """
 
 from __future__ import annotations

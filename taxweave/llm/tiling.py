@@ -7,7 +7,7 @@ of MIN_MATCH words remains. The share of the item's words that are marked is its
 passage is caught when its sentences come in another order or with text between them.
 
 Null and empty texts match nothing, and neither do items of less than MIN_MATCH words. Every row is
-treated for itself, so repeated rows repeat their result. Of matches of the same length the one
+treated for itself, so repeated rows repeat their result. Texts of any length are read whole; empty tables on either side give no match. Of matches of the same length the one
 earlier in the item, then earlier in the text, is marked first.
 """
 

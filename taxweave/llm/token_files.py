@@ -6,7 +6,7 @@ each document) and the frames. Blocks are ordered by doc_id, and their columns f
 let a reader of one document skip all other blocks by file statistics.
 
 Null texts are empty documents, so they hold the end id alone; a null doc_id sorts first; rows with
-equal doc_id are all written, ordered by text. An empty table gives a folder with a dictionary row
+equal doc_id are all written, ordered by a hash of the text. A text of any length is one frame. An empty table gives a folder with a dictionary row
 and no block. Other columns of the input are not looked at.
 """
 

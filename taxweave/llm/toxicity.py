@@ -12,7 +12,8 @@ sample of labelled rows, at most SAMPLE ids of each class, chosen by the hash of
 
 Null and empty texts have no clause and get the score of the intercept. Rows of documents are scored
 each for itself; of several labels for one id the highest counts. Without labels of both classes the
-lexicon is empty and every score is (toxic rows + 1) / (labelled rows + 10). Other columns are not looked at.
+lexicon is empty and every score is (toxic rows + 1) / (labelled rows + 10). Texts of any length are read whole. An empty table
+gives no rows. A score of 0.5 (a tie) counts as toxic in the query. Other columns are not looked at.
 """
 
 from __future__ import annotations

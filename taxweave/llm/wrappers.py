@@ -20,7 +20,8 @@ text outside links is kept whatever its name (comments are not), and so is what
 Elements below MOST_DEPTH are read in order as if they stood beside each other; inside a part that is none they are none too.
 
 Null and empty pages give an empty text; a null or odd url counts as the host ''. Repeated pages are pages
-each for itself. Other columns are not looked at.
+each for itself. Pages of any length are read whole; of elements that are the article equally well (a tie) the outermost and first is taken. An empty table
+gives no rows. Other columns are not looked at.
 """
 
 from __future__ import annotations
