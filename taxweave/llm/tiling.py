@@ -31,26 +31,41 @@ MIN_MATCH = 5
 COVERAGE = 0.5
 #: Texts of items that are sent to the tasks at once; a larger benchmark is taken in several passes.
 ITEM_CHARS = 16 << 20
+#: Pairs of places that are looked at together.
+MOST_SEEDS = 1 << 20
 MATCHES = "array<struct<item_id:long,item_words:int,marked:int,tiles:int,longest:int,coverage:double>>"
 
 
-def tile(text: np.ndarray, item: np.ndarray, width: int = MIN_MATCH) -> list[tuple[int, int, int]]:
-    """Tiles (place in the item, place in the text, words), the longest first."""
-    zeros = np.zeros(len(text), np.int64), np.zeros(len(item), np.int64)
-    _, in_text = grams.windows(zeros[0], text, width)
-    _, in_item = grams.windows(zeros[1], item, width)
+def _runs(in_text: np.ndarray, in_item: np.ndarray, width: int) -> Iterator[tuple[int, int, int]]:
+    """(words, place in the item, place in the text) of seeds that follow each other, from the runs of words of both."""
     order = np.argsort(in_item, kind="stable")
     low = np.searchsorted(in_item[order], in_text, "left")
     many = np.searchsorted(in_item[order], in_text, "right") - low
+    if many.sum() > MOST_SEEDS:  # a phrase that both repeat: not all pairs of places, but one shift after the other
+        for shift in range(1 - len(in_item), len(in_text)):
+            start, stop = max(0, shift), min(len(in_text), len(in_item) + shift)
+            same = in_text[start:stop] == in_item[start - shift : stop - shift]
+            if same.any():
+                edges = np.flatnonzero(np.diff(np.concatenate([[False], same, [False]]).astype(np.int8))).reshape(-1, 2)
+                yield from ((int(y - x) + width - 1, int(start - shift + x), int(start + x)) for x, y in edges)
+        return
     t = np.repeat(np.arange(len(in_text)), many)
     i = order[np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())]
     if not len(t):
-        return []
+        return
     by = np.lexsort((i, i - t))
     t, i = t[by], i[by]
-    breaks = np.flatnonzero((np.diff(i - t) != 0) | (np.diff(i) != 1)) + 1
-    runs = np.split(np.arange(len(t)), breaks)
-    heap = [(-(len(r) + width - 1), int(i[r[0]]), int(t[r[0]])) for r in runs]
+    first = np.concatenate([[0], np.flatnonzero((np.diff(i - t) != 0) | (np.diff(i) != 1)) + 1])
+    sizes = np.diff(np.append(first, len(t)))
+    yield from ((int(n) + width - 1, int(i[k]), int(t[k])) for k, n in zip(first, sizes))
+
+
+def tile(text: np.ndarray, item: np.ndarray, width: int = MIN_MATCH) -> list[tuple[int, int, int]]:
+    """Tiles (place in the item, place in the text, words), the longest first."""
+    zeros = np.zeros(len(text), np.int64), np.zeros(len(item), np.int64)
+    _, in_text = grams.windows(zeros[0], text, width)
+    _, in_item = grams.windows(zeros[1], item, width)
+    heap = [(-n, at_item, at_text) for n, at_item, at_text in _runs(in_text, in_item, width)]
     heapq.heapify(heap)
     free_text, free_item = np.ones(len(text), bool), np.ones(len(item), bool)
     tiles = []

@@ -425,3 +425,14 @@ def test_token_files_of_one_id(spark):
     read = token_files.read(spark, folder).orderBy("start").collect()
     assert [r.doc_id for r in read] == [None] * 300 + [7] * 600
     assert [r.start for r in read] == [0, *np.cumsum([r.n_tokens for r in read])[:-1].tolist()]
+
+
+def test_phrases_that_both_repeat(monkeypatch):
+    """Seeds by shift are the seeds by pairs, and a word repeated thousands of times takes no memory for all pairs."""
+    pick = np.random.default_rng(8)
+    cases = [(pick.integers(0, 3, n).astype(np.uint64), pick.integers(0, 3, m).astype(np.uint64)) for n, m in ((200, 60), (60, 200), (9, 4), (300, 300))]
+    by_pairs = [tiling.tile(a, b) for a, b in cases]
+    monkeypatch.setattr(tiling, "MOST_SEEDS", 0)
+    assert [tiling.tile(a, b) for a, b in cases] == by_pairs
+    monkeypatch.undo()
+    assert tiling.tile(np.full(4000, 7, np.uint64), np.full(3000, 7, np.uint64)) == [(0, 0, 3000)]
