@@ -33,13 +33,19 @@ def sealed(df: DataFrame) -> DataFrame:
     return df.select(F.inline(F.array(F.struct(*df.columns))))
 
 
-def sales_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items with the order's taxpayer, store and platform."""
+def _platform(key: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(p) for p in RULES]), (key % 3 + 1).cast("int"))
+
+
+def sales_rows(spark: SparkSession, sf_dir: str, platform: str | None = None) -> DataFrame:
+    """Line items with the order's taxpayer, store and platform; of one platform only its own are shuffled."""
     items = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag"
     )
-    items = spread(items, "l_orderkey")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
+    if platform is not None:
+        items, orders = (rows.filter(_platform(F.col(c)) == platform) for rows, c in ((items, "l_orderkey"), (orders, "o_orderkey")))
+    items = spread(items, "l_orderkey")
     key = F.col("l_orderkey")
     quantity, item = F.col("l_quantity").cast("long"), cents("l_extendedprice")
     rate = cents("l_discount")
@@ -49,7 +55,7 @@ def sales_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         key,
         whole_div(F.col("o_custkey"), 15).alias("taxpayer_id"),
         F.concat(F.lit("store"), (whole_div(key, 3) % 3 + 1).cast("string")).alias("store"),
-        F.element_at(F.array(*[F.lit(p) for p in RULES]), (key % 3 + 1).cast("int")).alias("platform"),
+        _platform(key).alias("platform"),
         key.cast("string").alias("order_no"),
         "o_orderstatus",
         F.col("o_orderdate").cast("date").alias("order_date"),
@@ -80,11 +86,11 @@ def _status_word() -> Column:
     return F.try_element_at(F.array(*[F.lit(w) for w in words]), (key % 3 * 5 + slot + 1).cast("int"))
 
 
-def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines of all taxpayers. Every 50th order is there twice, some
+def order_lines(spark: SparkSession, sf_dir: str, platform: str | None = None) -> DataFrame:
+    """Order lines of all taxpayers, or of them one platform's. Every 50th order is there twice, some
     orders have no status and some Shopee orders no discount."""
     key = F.col("l_orderkey")
-    rows = sales_rows(spark, sf_dir).withColumns(
+    rows = sales_rows(spark, sf_dir, platform).withColumns(
         {
             "status": _status_word(),
             "disc_c": F.when((F.col("platform") != "Shopee") | (key % 41 != 0), F.col("disc_c")),
@@ -183,10 +189,10 @@ def _export_names(platform: str) -> list[str]:
 
 
 def _write_export(rows: DataFrame, names: list[str], path: str, fmt: str) -> None:
-    """Land an export in folders per store and group of taxpayers. Ranges split
-    large folders; the files of a folder are named in the order of the rows."""
+    """Land an export in folders per store and group of taxpayers. Rows come dealt out by order, so an order's
+    lines are in one file, in their order, without another shuffle."""
     order = ["store", "taxpayer_group", "taxpayer_id", "order_no", "line_ord"]
-    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    ordered = rows.sortWithinPartitions(*order)
     columns = [F.col(f"`{n}`") for n in ["taxpayer_id", *names, "store", "taxpayer_group"]]
     writer = ordered.select(*columns).write.mode("append").partitionBy("store", "taxpayer_group")
     if fmt == "csv":
@@ -199,7 +205,7 @@ def write_exports(spark: SparkSession, sf_dir: str, platform: str) -> str:
     versions with other column orders, the workbooks as Parquet."""
     root = fresh_folder(spark, "exports")
     path = f"{root}/kind=sale/platform={platform}"
-    rows = render_export(order_lines(spark, sf_dir), platform)
+    rows = render_export(order_lines(spark, sf_dir, platform), platform)
     # The order number is both a sort key and, rendered, an export column.
     names = _export_names(platform)
     if platform == "TikTok":
@@ -214,7 +220,7 @@ def write_exports(spark: SparkSession, sf_dir: str, platform: str) -> str:
 def write_incomplete_exports(spark: SparkSession, sf_dir: str, platform: str, fmt: str) -> str:
     """Exports of which every fourth group lacks a required column of money."""
     root = fresh_folder(spark, "exports")
-    rows = render_export(order_lines(spark, sf_dir), platform)
+    rows = render_export(order_lines(spark, sf_dir, platform), platform)
     columns, names = RULES[platform].columns, _export_names(platform)
     short = F.col("taxpayer_group") % 4 == 1
     _write_export(rows.filter(~short), names, f"{root}/platform={platform}", fmt)
