@@ -70,9 +70,12 @@ def daily_sales(order_totals: DataFrame) -> DataFrame:
     )
 
 
-def _fill_days(rows: DataFrame, keys: list[str], measures: list[str], as_of: dt.date | None) -> DataFrame:
+def _fill_days(rows: DataFrame, keys: list[str], measures: list[str], as_of: dt.date | None, running: dict[str, str] | None = None) -> DataFrame:
     """One row per day of each year that a key has rows in; new days hold 0.
 
+    `running` names measures to be summed up over the year, and the new columns. They are summed over the rows
+    there are and carried on to the filled days, which so need not be sorted.
+
     Each row fills the gap up to the next row's day, the first one also the
     days since 1 January. That takes one shuffle on key and year and reads the
     input once, where a join with a generated calendar would read it twice.
@@ -89,6 +92,7 @@ def _fill_days(rows: DataFrame, keys: list[str], measures: list[str], as_of: dt.
         {
             "fill_from": F.when(first, calendar.year_start(F.col("year"))).otherwise(F.col("date")),
             "fill_to": F.coalesce(F.date_sub(F.lead("date").over(by_day), 1), end),
+            **{name: F.sum(m).over(by_day.rowsBetween(Window.unboundedPreceding, Window.currentRow)) for m, name in (running or {}).items()},
         }
     ).withColumn("day", F.explode(F.sequence("fill_from", "fill_to")))
     own_day = F.col("day") == F.col("date")
@@ -97,6 +101,7 @@ def _fill_days(rows: DataFrame, keys: list[str], measures: list[str], as_of: dt.
         "year",
         F.col("day").alias("date"),
         *[F.when(own_day, F.col(m)).otherwise(F.lit(0)).alias(m) for m in measures],
+        *[F.when(F.col("day") >= F.col("date"), F.col(name)).otherwise(F.lit(0)).alias(name) for name in (running or {}).values()],
     )
 
 
@@ -201,4 +206,4 @@ def daily_report(daily: DataFrame, stores: list[str], as_of: dt.date | None = No
     stores that are not named and so have no columns."""
     wide = daily_matrix(daily, stores, tuple(RULES), F.sum(F.col("order_c") + F.col("ship_c")).alias("sum_c"))
     measures = [c for c in wide.columns if c not in ("taxpayer_id", "date")]
-    return running_total(_fill_days(wide, ["taxpayer_id"], measures, as_of))
+    return _fill_days(wide, ["taxpayer_id"], measures, as_of, {"sum_c": "cum_c"})

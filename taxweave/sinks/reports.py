@@ -22,6 +22,8 @@ from taxweave.sinks.versions import Conflict, Versions
 
 #: Taxpayer ranges of a folder are as many as give this many rows each at the first write, unless its writer names a number.
 ROWS_OF_RANGE, MOST_RANGES = 1_000_000, 4096
+#: Rows that one task sorts and writes of a large report. Bytes of the shuffle don't tell its memory: rows of mostly zeros shrink to a thirtieth there.
+ROWS_OF_TASK = 500_000
 
 
 def read_written(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet") -> DataFrame:
@@ -73,8 +75,9 @@ def _write_sorted(
                 same = [F.col(f"old.{c}").eqNullSafe(F.col(f"run.{c}")) for c in unit]
                 rows = keep(old.alias("old").join(touched.alias("run"), same, "left_anti").select("*", place).unionByName(rows), "rows")
             version, target = table.fresh()
+            tasks = -(-rows.count() // ROWS_OF_TASK)
             (
-                rows.repartitionByRange(*folders, "range", *order)
+                rows.repartitionByRange(*([tasks] if tasks > 1 else []), *folders, "range", *order)
                 .sortWithinPartitions(*folders, "range", *order)
                 .write.option("header", "true")
                 .partitionBy(*folders, "range")

@@ -38,3 +38,24 @@ def test_an_export_is_written_without_another_shuffle(spark, monkeypatch):
     assert not shuffles
     files = spark.read.parquet(f"{root}/kind=sale/platform=Shopee").select(F.col(RULES["Shopee"].columns["order_no"]).alias("n"), F.col("_metadata.file_path").alias("f"))
     assert files.groupBy("n").agg(F.countDistinct("f").alias("f")).agg(F.max("f")).first()[0] == 1
+
+
+def test_running_totals_of_the_report_sort_no_filled_days(spark):
+    rows = [(1, "store1", "Shopee", dt.date(2024, m, d), v, 1) for m, d, v in ((1, 1, 5), (1, 3, 7), (12, 31, 2))] + [(2, "store9", "Lazada", dt.date(2023, 2, 2), 4, 0)]
+    sales = spark.createDataFrame(rows, "taxpayer_id long, store string, platform string, date date, order_c long, ship_c long")
+    report = daily.daily_report(sales, ["store1"])
+    assert plan_of(report).count("Window ") == 1
+    got = {(r.taxpayer_id, r.date): (r.sum_c, r.cum_c) for r in report.collect()}
+    assert len(got) == 366 + 365
+    days = {(1, 1, 1): (6, 6), (1, 1, 2): (0, 6), (1, 1, 3): (8, 14), (1, 12, 30): (0, 14), (1, 12, 31): (3, 17)}
+    assert all(got[t, dt.date(2024, m, d)] == v for (t, m, d), v in days.items())
+    assert got[2, dt.date(2023, 2, 1)] == (0, 0) and got[2, dt.date(2023, 2, 2)] == got[2, dt.date(2023, 2, 2)] == (4, 4) and got[2, dt.date(2023, 12, 31)] == (0, 4)
+
+
+def test_a_task_sorts_a_bounded_number_of_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(reports, "ROWS_OF_TASK", 100)
+    rows = spark.range(1000).select(F.col("id").alias("taxpayer_id"), F.lit(2024).alias("year"), F.lit(dt.date(2024, 1, 1)).alias("date"), F.lit(0).cast("long").alias("sum_c"))
+    reports.write_daily_sales(rows, str(tmp_path / "x"))
+    read = reports.read_written(spark, str(tmp_path / "x"), rows.schema)
+    files = read.groupBy(F.col("_metadata.file_path")).count().collect()
+    assert read.count() == 1000 and len(files) >= 9 and max(r["count"] for r in files) < 300
