@@ -59,3 +59,20 @@ def test_a_task_sorts_a_bounded_number_of_rows(spark, tmp_path, monkeypatch):
     read = reports.read_written(spark, str(tmp_path / "x"), rows.schema)
     files = read.groupBy(F.col("_metadata.file_path")).count().collect()
     assert read.count() == 1000 and len(files) >= 9 and max(r["count"] for r in files) < 300
+
+
+@pytest.mark.parametrize(
+    "query, source, times",
+    [
+        (threshold.run_audit_threshold, "canonical_lines", 1),
+    ],
+)
+def test_lines_that_several_steps_need_are_computed_once(spark, monkeypatch, query, source, times):
+    scans, read = [], fx.table
+    monkeypatch.setattr(fx, "table", lambda spark, sf_dir, name: scans.append(name) or read(spark, sf_dir, name))
+    kept = []
+    module = threshold if query.__module__ == threshold.__name__ else checks
+    settle = module.settle
+    monkeypatch.setattr(module, "settle", lambda df, name: kept.append(name) or settle(df, name))
+    assert "lineitem" not in plan_of(query(spark, SF))
+    assert scans.count("lineitem") == times and len(kept) == 1
