@@ -65,6 +65,9 @@ def test_a_task_sorts_a_bounded_number_of_rows(spark, tmp_path, monkeypatch):
     "query, source, times",
     [
         (threshold.run_audit_threshold, "canonical_lines", 1),
+        (threshold.carried_balances, "canonical_lines", 1),
+        (checks.replace_overlapping_upload, "canonical_lines", 1),
+        (checks.land_second_upload, "canonical_lines", 1),
     ],
 )
 def test_lines_that_several_steps_need_are_computed_once(spark, monkeypatch, query, source, times):
@@ -76,3 +79,22 @@ def test_lines_that_several_steps_need_are_computed_once(spark, monkeypatch, que
     monkeypatch.setattr(module, "settle", lambda df, name: kept.append(name) or settle(df, name))
     assert "lineitem" not in plan_of(query(spark, SF))
     assert scans.count("lineitem") == times and len(kept) == 1
+
+
+def test_a_retried_upload_is_not_written_again(spark, tmp_path):
+    path = str(tmp_path / "lines")
+    table = Versions(spark, path)
+    for _ in range(2):
+        landing.write_order_lines(upload(spark, FIRST), path)
+    assert table.state().number == 1
+    landing.write_order_lines(upload(spark, FIRST[:2]), path, "b")
+    once = table.state()
+    landing.write_order_lines(upload(spark, FIRST[:2]), path, "b")
+    assert table.state() == once
+    # A retry behind another upload, and other rows or another order under the same name, replace what was there.
+    landing.write_order_lines(upload(spark, FIRST), path)
+    assert table.state().number == 3 and landed(spark, path) == rows_of(FIRST)
+    landing.write_order_lines(upload(spark, FIRST[:2][::-1]), path, "b")
+    assert table.state().number == 4
+    landing.write_order_lines(upload(spark, FIRST[:1]), path, "b")
+    assert table.state().number == 5 and landed(spark, path) == rows_of(FIRST)
