@@ -110,7 +110,7 @@ def _overlapping(spark, rows):
     path = fresh_folder(spark, "lines")
     twice = rows.filter(F.pmod(F.col("order_no").cast("long"), F.lit(3)) == 0)
     for batch, part in (("early", rows.filter("year <= 1998")), ("late", rows.filter("year >= 1997")), ("twice", lines.dedup_lines(twice.union(twice)))):
-        landing.write_order_lines(part, path, batch)
+        landing.write_order_lines(lines.without_copies(part), path, batch)
     return path
 
 
@@ -133,7 +133,7 @@ def replace_overlapping_upload(spark, sf_dir):
 
 def vat_of_overlapping_uploads(spark, sf_dir):
     """The sales ledger counts a line once, however many uploads and copies have it."""
-    return plans_vat.sales_from_lines(landing.read_order_lines(spark, _overlapping(spark, _unique(spark, sf_dir))))
+    return plans_vat.sales_from_lines(landing.read_order_lines(spark, _overlapping(spark, fx.canonical_lines(spark, sf_dir))))
 
 
 def threshold_from_exports(spark, sf_dir):
