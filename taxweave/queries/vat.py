@@ -141,7 +141,8 @@ def vat_return_gated(spark, sf_dir):
 
 def _complete(spark, sf_dir):
     months = vat.vat_months(fx.canonical_lines(spark, sf_dir), _docs(spark, sf_dir))
-    return vat.complete_months(months, fx.store_selection(spark, sf_dir), fx.monthly_manifest(spark, sf_dir))
+    # The manifest is asked for what is there and for what is missing; it is computed once.
+    return vat.complete_months(months, fx.store_selection(spark, sf_dir), settle(fx.monthly_manifest(spark, sf_dir), "manifest"))
 
 
 def vat_return_complete(spark, sf_dir):
@@ -203,7 +204,8 @@ def dedup_invoices(spark, sf_dir):
 
 
 def sort_purchase_ledger(spark, sf_dir):
-    return invoices.sort_purchase_ledger(_purchases(spark, sf_dir).select(*invoices.PURCHASES))
+    # A sort over all partitions reads its rows twice, first for their ranges: the texts are extracted before.
+    return invoices.sort_purchase_ledger(settle(_purchases(spark, sf_dir).select(*invoices.PURCHASES), "purchases"))
 
 
 def distinct_taxpayers(spark, sf_dir):
