@@ -7,6 +7,7 @@ and store are columns of the file or parts of its folder, like store=x.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 from functools import reduce
 from urllib.parse import quote
 
@@ -154,7 +155,8 @@ def _scan_csv(spark: SparkSession, root: str | list[str], headers: DataFrame, mu
     reader = spark.read.options(**CSV_OPTIONS).option("multiLine", str(multi_line).lower()).schema(", ".join(f"{c} string" for c in cells))
     raw = with_source(reader.option("recursiveFileLookup", "true").option("pathGlobFilter", CSV_FILES).csv(root), names)
     added = [c for c in raw.columns if c not in cells and c != "line_ord"]
-    joined = raw.withColumn("cells", F.array(*cells)).join(files, _plain_path(F.col("line_ord.file")) == F.col("own_file"))
+    # A row for each file, which the driver has listed: the cells aren't shuffled to meet it.
+    joined = raw.withColumn("cells", F.array(*cells)).join(F.broadcast(files), _plain_path(F.col("line_ord.file")) == F.col("own_file"))
     named = [F.get("cells", F.get("places", F.lit(i))).alias(name) for i, name in enumerate(names)]
     return joined.select(*named, *added, "line_ord")
 
@@ -193,11 +195,23 @@ def scan_order_export(
     raw = with_source(spark.read.option("recursiveFileLookup", "true").option("mergeSchema", "true").parquet(*([root] if isinstance(root, str) else root)))
     if required:
         whole = whole_files(parquet_headers(spark, root), required).select(_plain_path(F.col("file_path")).alias("own_file"))
-        raw = raw.join(whole, _plain_path(F.col("line_ord.file")) == F.col("own_file"), "left_semi")
+        raw = raw.join(F.broadcast(whole), _plain_path(F.col("line_ord.file")) == F.col("own_file"), "left_semi")
     kept = [_as_text(c, kind, date_format).alias(c) for c, kind in raw.dtypes if c != "line_ord"]
     return raw.select(*kept, "line_ord")
 
 
+def with_numbered_order(raw: DataFrame, root: str | list[str]) -> DataFrame:
+    """Scanned rows with `file_no`, which rises with the files' names, and with `line_ord` as one number in place of file, block and
+    row, in the same order: aggregates by it can hash, and no row carries its file's name. The rows of a block are in one task."""
+    files = list_files(raw.sparkSession, root).select(_plain_path(F.col("path")).alias("own_file")).distinct().orderBy("own_file")
+    files = files.withColumn("file_no", F.monotonically_increasing_id())
+    part = lambda c, unit: c.cast("decimal(20,0)") * F.lit(Decimal(unit))
+    # Whole bytes for each, which shuffles compress.
+    place = part(F.col("file_no"), 1 << 80) + part(F.col("line_ord.block"), 1 << 40) + F.col("line_ord.row").bitwiseAND(F.lit((1 << 33) - 1)).cast("decimal(20,0)")
+    joined = raw.join(F.broadcast(files), _plain_path(F.col("line_ord.file")) == F.col("own_file"))
+    return joined.select(*[F.col(f"`{c}`") for c in raw.columns if c != "line_ord"], "file_no", place.cast("decimal(38,0)").alias("line_ord"))
+
+
 def union_exports(exports: list[DataFrame]) -> DataFrame:
     """Concatenate exports with columns aligned by name; absent ones are NULL."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), exports)

@@ -6,12 +6,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from taxweave import fixtures as fx
+from taxweave import session
 from taxweave.operators import daily
 from taxweave.plans import landing
 from taxweave.queries import checks, threshold, vat
 from taxweave.rules import RULES
 from taxweave.sinks import reports
 from taxweave.sinks.versions import Versions
+from taxweave.sources import exports
 from test_landing import FIRST, landed, rows_of, upload
 
 SF = "/root/testdata/sf0.001"
@@ -102,3 +104,44 @@ def test_a_retried_upload_is_not_written_again(spark, tmp_path):
     assert table.state().number == 4
     landing.write_order_lines(upload(spark, FIRST[:1]), path, "b")
     assert table.state().number == 5 and landed(spark, path) == rows_of(FIRST)
+
+
+def test_only_exports_that_are_landed_are_written(spark, monkeypatch):
+    written, write = [], fx.write_incomplete_exports
+    monkeypatch.setattr(fx, "write_incomplete_exports", lambda spark, sf_dir, *which: written.append(which) or write(spark, sf_dir, *which))
+    checks.land_without_quarantined(spark, SF)
+    assert sorted(written) == [("Lazada", "csv"), ("Shopee", "parquet"), ("TikTok", "csv")]
+
+
+@pytest.mark.parametrize("platform", ["Shopee", "TikTok"])
+def test_exports_are_not_shuffled_by_file_nor_sorted_for_their_copies(spark, platform):
+    root, fmt = fx.write_exports(spark, SF, platform), "csv" if platform == "TikTok" else "parquet"
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where the listing is large
+    try:
+        rows = landing.lines_from_exports(spark, {platform: root}, {platform: fmt})
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plan and "SortAggregate" not in plan and plan.count("HashAggregate") >= 4
+
+
+def test_numbered_order_is_that_of_file_and_row(spark, tmp_path):
+    for name, days in (("b", ["3", "4"]), ("a", ["1", "2"])):
+        (tmp_path / f"{name} 1.csv").write_text("day\n" + "\n".join(days) + "\n")
+    raw = exports.scan_order_export(spark, str(tmp_path))
+    numbered = exports.with_numbered_order(raw, str(tmp_path))
+    assert [r.day for r in numbered.orderBy("line_ord").collect()] == ["1", "2", "3", "4"]
+    assert dict(numbered.dtypes)["line_ord"] == "decimal(38,0)" and numbered.select("file_no").distinct().count() == 2
+
+
+def test_a_filing_writes_its_ledgers_once_before_they_are_sorted(spark, monkeypatch):
+    names, fresh = [], session.fresh_folder
+    monkeypatch.setattr(session, "fresh_folder", lambda spark, name: names.append(name) or fresh(spark, name))
+    vat.write_receipts(spark, SF)
+    assert "report" not in names and "touched" not in names and names.count("sales") == names.count("purchases") == 1
+
+
+def test_documents_of_other_platforms_are_not_rendered(spark):
+    plan = plan_of(fx.invoice_pages(spark, SF).filter("platform = 'Lazada'"))
+    below = plan[plan.rindex("Aggregate") :]
+    assert any("Filter" in line and "= Lazada" in line for line in below.split("\n"))
