@@ -158,8 +158,8 @@ def scan_input_manifest(spark, sf_dir):
     return files.groupBy(*PLACE).agg((F.min("length") > 0).alias("has_rows"))
 
 
-def _incomplete(spark, sf_dir, formats=("csv", "parquet")):
-    return {fmt: {p: fx.write_incomplete_exports(spark, sf_dir, p, fmt) for p in RULES} for fmt in formats}
+def _incomplete(spark, sf_dir):
+    return {fmt: {p: fx.write_incomplete_exports(spark, sf_dir, p, fmt) for p in RULES} for fmt in ("csv", "parquet")}
 
 
 def missing_columns(spark, sf_dir):
@@ -174,10 +174,10 @@ def missing_columns(spark, sf_dir):
 
 def land_without_quarantined(spark, sf_dir):
     """Lines of files that lack a column aren't landed, all others are: CSV files of two platforms, Parquet of one."""
-    roots = _incomplete(spark, sf_dir)
     formats = {"Shopee": "parquet", "Lazada": "csv", "TikTok": "csv"}
+    roots = {p: fx.write_incomplete_exports(spark, sf_dir, p, f) for p, f in formats.items()}
     path = fresh_folder(spark, "lines")
-    landing.write_order_lines(landing.lines_from_exports(spark, {p: roots[f][p] for p, f in formats.items()}, formats), path)
+    landing.write_order_lines(landing.lines_from_exports(spark, roots, formats), path)
     return _long_ids(landing.read_order_lines(spark, path)).select(*EXPORTED, "year", "month", "copies")
 
 
