@@ -102,8 +102,8 @@ def file_returns(months: VatMonths, path: str, refiled: DataFrame | None = None,
         sales, fees = keep(months.sales, "sales"), keep(months.purchases, "purchases")
         run = sales.select(*unit).union(fees.select(*unit))
         run = settle((run if refiled is None else run.union(refiled.select(*unit))).distinct(), "filed")
-        reports.write_tax_ledgers(sales, fees.select(*invoices.PURCHASES), path, run=run)
-        reports.write_receipts(fees, f"{path}/receipts", run=run)
+        reports.write_tax_ledgers(sales, fees.select(*invoices.PURCHASES), path, run=run, written=True)
+        reports.write_receipts(fees, f"{path}/receipts", run=run, written=True)
     written = [
         reports.read_written(spark, f"{path}/{side}", schema).join(run, unit, "left_semi")
         for side, schema in (("sales", months.sales.schema), ("purchases", fees.select(*invoices.PURCHASES).schema))

@@ -47,21 +47,23 @@ def _unit(folders: list[str], row: Row) -> str:
 
 
 def _write_sorted(
-    df: DataFrame, path: str, folders: list[str], order: list[str], fmt: str, run: DataFrame | None = None, ranges: int | None = None, tries: int = 5
+    df: DataFrame, path: str, folders: list[str], order: list[str], fmt: str, run: DataFrame | None = None, ranges: int | None = None, tries: int = 5, written: bool = False
 ) -> None:
     """Replace the rows of the run's taxpayers in the run's folders; all other rows stay.
 
     `run` has the run's taxpayers and folders, also those without rows now, whose
     earlier rows go. Without it they are those of the rows themselves.
 
+    With `written` the rows and the run are read from written tables, and the run has all taxpayers and folders of the rows.
+
     A folder's taxpayers are dealt into ranges by a hash; the table's first writer fixes how many. Only
     the ranges of the run's taxpayers are read and written, and one commit makes them live.
     """
     spark, table = df.sparkSession, Versions(df.sparkSession, path)
     unit = ["taxpayer_id", *folders]
     with settling(spark) as keep:
-        new = keep(df, "report")
-        touched = keep((new if run is None else new.select(*unit).union(run.select(*unit))).select(*unit).distinct(), "touched")
+        new = df if written else keep(df, "report")
+        touched = run if written else keep((new if run is None else new.select(*unit).union(run.select(*unit))).select(*unit).distinct(), "touched")
         for attempt in range(tries):
             seen = table.state()
             noted = seen.notes.get("ranges")
@@ -75,7 +77,9 @@ def _write_sorted(
                 same = [F.col(f"old.{c}").eqNullSafe(F.col(f"run.{c}")) for c in unit]
                 rows = keep(old.alias("old").join(touched.alias("run"), same, "left_anti").select("*", place).unionByName(rows), "rows")
             version, target = table.fresh()
-            tasks = -(-rows.count() // ROWS_OF_TASK)
+            # At most one row for each folder and range.
+            sizes = {_unit(folders, r): r.n for r in rows.groupBy(*folders, "range").agg(F.count("*").alias("n")).collect()}
+            tasks = -(-sum(sizes.values()) // ROWS_OF_TASK)
             (
                 rows.repartitionByRange(*([tasks] if tasks > 1 else []), *folders, "range", *order)
                 .sortWithinPartitions(*folders, "range", *order)
@@ -84,9 +88,8 @@ def _write_sorted(
                 .format(fmt)
                 .save(target)
             )
-            written = {_unit(folders, r) for r in rows.select(*folders, "range").distinct().collect()}
             try:
-                table.commit(seen, {u: version if u in written else None for u in units}, {"ranges": str(ranges)})
+                table.commit(seen, {u: version if u in sizes else None for u in units}, {"ranges": str(ranges)})
                 return
             except Conflict:
                 if attempt == tries - 1:
@@ -100,17 +103,17 @@ def write_daily_sales(report: DataFrame, path: str, fmt: str = "parquet", ranges
 
 
 def write_tax_ledgers(
-    sales: DataFrame, purchases: DataFrame, path: str, fmt: str = "parquet", run: DataFrame | None = None, ranges: int | None = None
+    sales: DataFrame, purchases: DataFrame, path: str, fmt: str = "parquet", run: DataFrame | None = None, ranges: int | None = None, written: bool = False
 ) -> None:
-    """Output-tax and input-tax reports, by year and month."""
-    _write_sorted(sales, f"{path}/sales", ["year", "month"], [*SOURCE, "order_date", "order_no"], fmt, run, ranges)
-    _write_sorted(purchases, f"{path}/purchases", ["year", "month"], [*SOURCE, "doc_date", "doc_num"], fmt, run, ranges)
+    """Output-tax and input-tax reports, by year and month. `written`: see `_write_sorted`."""
+    _write_sorted(sales, f"{path}/sales", ["year", "month"], [*SOURCE, "order_date", "order_no"], fmt, run, ranges, written=written)
+    _write_sorted(purchases, f"{path}/purchases", ["year", "month"], [*SOURCE, "doc_date", "doc_num"], fmt, run, ranges, written=written)
 
 
-def write_receipts(invoices: DataFrame, path: str, fmt: str = "parquet", run: DataFrame | None = None, ranges: int | None = None) -> None:
+def write_receipts(invoices: DataFrame, path: str, fmt: str = "parquet", run: DataFrame | None = None, ranges: int | None = None, written: bool = False) -> None:
     """The receipt manifest, by year and month."""
     order = ["taxpayer_id", "bundle", "doc_date", "doc_num", "file_name"]
-    _write_sorted(_receipts(invoices), path, ["year", "month"], order, fmt, run, ranges)
+    _write_sorted(_receipts(invoices), path, ["year", "month"], order, fmt, run, ranges, written=written)
 
 
 BUNDLE = ["taxpayer_id", "year", "month", "bundle"]
