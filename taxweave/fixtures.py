@@ -27,10 +27,10 @@ def cents(column: str) -> Column:
     return F.round(F.col(column) * 100).cast("long")
 
 
-def sealed(df: DataFrame) -> DataFrame:
+def sealed(df: DataFrame, *passed: str) -> DataFrame:
     """The same rows, but filters on derived columns stay above this point
-    instead of repeating the columns' expressions further down."""
-    return df.select(F.inline(F.array(F.struct(*df.columns))))
+    instead of repeating the columns' expressions further down. Filters on the `passed` columns go through."""
+    return df.select(*passed, F.inline(F.array(F.struct(*[c for c in df.columns if c not in passed])))).select(*df.columns)
 
 
 def _platform(key: Column) -> Column:
@@ -195,7 +195,9 @@ def _write_export(rows: DataFrame, names: list[str], path: str, fmt: str) -> Non
     ordered = rows.sortWithinPartitions(*order)
     columns = [F.col(f"`{n}`") for n in ["taxpayer_id", *names, "store", "taxpayer_group"]]
     writer = ordered.select(*columns).write.mode("append").partitionBy("store", "taxpayer_group")
-    if fmt == "csv":
+    if fmt == "parquet":
+        writer = writer.option("compression", "zstd")
+    else:
         writer = writer.options(header="true", escape='"', ignoreTrailingWhiteSpace="false", ignoreLeadingWhiteSpace="false")
     writer.format(fmt).save(path)
 
@@ -407,8 +409,10 @@ def invoice_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     amounts must not be read."""
     more = F.lit("Total 9,999.99\nTotal VAT 7% ฿9.99\nVAT 7% 9.99\nInvoice number : NO")
     pages = F.when(F.col("inv_id") % 2 == 0, F.array("first", "more")).otherwise(F.array("first"))
+    # A reader of one platform's documents gets no others rendered.
     return sealed(
-        sealed(invoices(spark, sf_dir))
+        sealed(invoices(spark, sf_dir), "platform")
         .withColumns({"first": _invoice_text(), "more": more})
-        .select(*DOC_COLUMNS, F.posexplode(pages).alias("page_no", "text"))
+        .select(*DOC_COLUMNS, F.posexplode(pages).alias("page_no", "text")),
+        "platform",
     )
