@@ -2,7 +2,8 @@
 
 All are semi or anti joins on the source. Which side is broadcast is left to
 Spark, which decides by measured size; a hot source on a large left side is
-split by the adaptive skew join.
+split by the adaptive skew join. Where rows of each period are joined, both sides are sorted: Spark measures a written table by its
+compressed file, in which sources and periods repeat, and would send millions of rows through the driver.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ def wanted_inputs(selection: DataFrame, periods: DataFrame, kinds=INPUT_KINDS) -
 
     `periods` has taxpayer_id and the columns of a period.
     """
-    sources = selection.select(*SOURCE).distinct().join(periods.distinct(), "taxpayer_id")
+    sources = selection.select(*SOURCE).distinct().join(periods.distinct().hint("merge"), "taxpayer_id")
     return sources.withColumn("kind", F.explode(F.array(*[F.lit(k) for k in kinds])))
 
 
@@ -34,15 +35,20 @@ def completeness(wanted: DataFrame, manifest: DataFrame) -> DataFrame:
     keys = wanted.columns
     period = [c for c in keys if c not in (*SOURCE, "kind")]
     there = manifest.select(*keys).distinct().withColumn("there", F.lit(True))
-    state = wanted.join(there, keys, "left").groupBy("taxpayer_id", *period)
+    state = wanted.join(there.hint("merge"), keys, "left").groupBy("taxpayer_id", *period)
     counted = state.agg(F.count("*").alias("wanted"), F.count_if(F.col("there").isNull()).alias("missing"))
     return counted.withColumn("complete", F.col("missing") == 0)
 
 
+def lacking(wanted: DataFrame, manifest: DataFrame) -> DataFrame:
+    """The wanted uploads that the manifest doesn't have."""
+    return wanted.join(manifest.select(*wanted.columns).distinct().hint("merge"), wanted.columns, "left_anti")
+
+
 def drop_incomplete(rows: DataFrame, state: DataFrame) -> DataFrame:
     """Rows of taxpayers and periods that `completeness` finds no upload missing for."""
     keys = [c for c in state.columns if c not in ("wanted", "missing", "complete")]
-    return rows.join(state.filter(~F.col("complete")).select(*keys), keys, "left_anti").select(*rows.columns)
+    return rows.join(state.filter(~F.col("complete")).select(*keys).hint("merge"), keys, "left_anti").select(*rows.columns)
 
 
 def prune_inputs(manifest: DataFrame, selection: DataFrame) -> DataFrame:

@@ -71,7 +71,7 @@ def gated_status(order_lines: DataFrame, selection: DataFrame, manifest: DataFra
     status = settle(status_from_lines(order_lines, year, as_of), "status")
     wanted = inputs.wanted_inputs(selection, status.select("taxpayer_id", "year"), ("sale",))
     state = inputs.completeness(wanted, manifest)
-    missing = wanted.join(manifest.select(*wanted.columns).distinct(), wanted.columns, "left_anti")
+    missing = inputs.lacking(wanted, manifest)
     return Gated(inputs.drop_incomplete(status, state), missing)
 
 

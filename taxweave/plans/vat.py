@@ -82,7 +82,7 @@ def complete_months(months: VatMonths, selection: DataFrame, manifest: DataFrame
     wanted = inputs.wanted_inputs(selection, sales.select(*period).union(fees.select(*period)))
     state = settle(inputs.completeness(wanted, manifest), "completeness")
     sales, fees = (inputs.drop_incomplete(side, state) for side in (sales, fees))
-    missing = wanted.join(manifest.select(*wanted.columns).distinct(), wanted.columns, "left_anti")
+    missing = inputs.lacking(wanted, manifest)
     return VatMonths(sales, fees, returns.vat_return(sales, fees)), missing
 
 

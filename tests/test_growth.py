@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from taxweave import fixtures as fx
 from taxweave import session
-from taxweave.operators import daily
+from taxweave.operators import daily, inputs
 from taxweave.plans import landing
 from taxweave.queries import checks, threshold, vat
 from taxweave.rules import RULES
@@ -145,3 +145,20 @@ def test_documents_of_other_platforms_are_not_rendered(spark):
     plan = plan_of(fx.invoice_pages(spark, SF).filter("platform = 'Lazada'"))
     below = plan[plan.rindex("Aggregate") :]
     assert any("Filter" in line and "= Lazada" in line for line in below.split("\n"))
+
+
+def test_uploads_of_each_period_are_not_sent_through_the_driver(spark, tmp_path):
+    """A written table of repeated sources is small as a file, whatever number of rows it has."""
+    source, period = "taxpayer_id long, store string, platform string", "year int, month int"
+    rows = [(1, "a", "Shopee", k, 2024, 3) for k in ("sale", "commission")] + [(2, "b", "TikTok", "sale", 2024, 3)]
+    spark.createDataFrame(rows, f"{source}, kind string, {period}").write.parquet(str(tmp_path / "manifest"))
+    manifest = spark.read.parquet(str(tmp_path / "manifest"))
+    selection, periods = manifest.select("taxpayer_id", "store", "platform"), manifest.select("taxpayer_id", "year", "month")
+    wanted = inputs.wanted_inputs(selection, periods)
+    state, missing = inputs.completeness(wanted, manifest), inputs.lacking(wanted, manifest)
+    kept = inputs.drop_incomplete(periods, state)
+    for frame in (wanted, state, missing, kept):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert [(r.taxpayer_id, r.kind) for r in missing.collect()] == [(2, "commission")]
+    assert {r.taxpayer_id for r in kept.collect()} == {1}
