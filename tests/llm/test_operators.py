@@ -436,3 +436,27 @@ def test_phrases_that_both_repeat(monkeypatch):
     assert [tiling.tile(a, b) for a, b in cases] == by_pairs
     monkeypatch.undo()
     assert tiling.tile(np.full(4000, 7, np.uint64), np.full(3000, 7, np.uint64)) == [(0, 0, 3000)]
+
+
+def test_tables_and_shuffles_of_near_duplicates_go_when_they_are_read(spark, monkeypatch):
+    """Seeds in several parts give the same groups; only the tables that the result reads are left, and texts aren't shuffled to lose few rows."""
+    from taxweave.llm import common, jaccard
+
+    copy = [f"w{k}" for k in range(60)]
+    texts = [(k, " ".join(copy[:-1] + [f"end{k}"])) for k in range(5)] + [(10 + k, " ".join(f"t{k}x{i}" for i in range(40))) for k in range(30)]
+    docs = spark.createDataFrame([*texts, (10, texts[5][1]), (None, "a b"), (99, None)], "doc_id long, text string")
+    groups = lambda: sorted(map(tuple, jaccard.near_duplicates(docs).collect()), key=repr)
+    before = common.settled(spark)
+    whole = groups()
+    monkeypatch.setattr(jaccard, "SEEDS_AT_ONCE", 1)
+    assert groups() == whole and {r[2] for r in whole if r[0] is not None and r[0] < 5} == {0}
+    left = [p for p in common.settled(spark) if p not in before]
+    assert len(left) == 4 and not any(name in p for p in left for name in ("/sets-", "/seeds-", "/members-", "/classes-"))
+    kept = jaccard.keep_one(docs)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "LeftAnti" in plan
+    assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted([0, *range(10, 40), 99, None], key=repr)
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", -1)
+    kept = jaccard.keep_one(docs)
+    assert "SortMergeJoin" not in kept._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted([0, *range(10, 40), 99, None], key=repr)
