@@ -1,8 +1,10 @@
 """What is shuffled, sorted and computed, where a larger input would pass its limits."""
 
 import datetime as dt
+import time
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from taxweave import fixtures as fx
@@ -162,3 +164,39 @@ def test_uploads_of_each_period_are_not_sent_through_the_driver(spark, tmp_path)
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
     assert [(r.taxpayer_id, r.kind) for r in missing.collect()] == [(2, "commission")]
     assert {r.taxpayer_id for r in kept.collect()} == {1}
+
+
+def shuffle_files(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = disk.getAllFiles().mkString("\n").split("\n")
+    return {f for f in files if "/shuffle_" in f}
+
+
+def test_written_tables_leave_no_shuffle_files(spark, tmp_path, monkeypatch):
+    before = shuffle_files(spark)
+    rows = spark.range(1000).groupBy((F.col("id") % 100).alias("k")).count()
+    settled = session.settle(rows, "counts")
+    with session.settling(spark) as keep:
+        keep(rows, "more")
+    for _ in range(50):  # Spark removes them behind the write
+        if not (left := {f for f in shuffle_files(spark) - before if f.endswith(".data")}):
+            break
+        time.sleep(0.2)
+    assert not left and settled.count() == 100
+    session.forget(settled)
+    assert not session.exists(spark, settled.inputFiles()[0].rsplit("/", 1)[0])
+    tidied, write = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **b: tidied.append(spark.conf.get(session.CLEANUP, "false")) or write(self, *a, **b))
+    path = str(tmp_path / "lines")
+    for batch, some in (("a", FIRST), ("b", FIRST[:2]), ("a", FIRST[::-1])):
+        landing.write_order_lines(upload(spark, some), path, batch)
+    assert len(tidied) == 8 and set(tidied) == {"true"} and spark.conf.get(session.CLEANUP, "false") == "false"
+    assert landed(spark, path) == rows_of(FIRST)
+
+
+@pytest.mark.parametrize("query", [checks.land_second_upload, checks.replace_overlapping_upload, checks.land_overlapping_uploads, checks.land_same_upload_twice])
+def test_lines_of_uploads_go_when_all_are_landed(spark, monkeypatch, query):
+    kept, settle = [], checks.settle
+    monkeypatch.setattr(checks, "settle", lambda df, name: kept.append(settle(df, name)) or kept[-1])
+    result = query(spark, SF)
+    assert not any(session.exists(spark, f) for f in kept[0].inputFiles()) and result.count()
